@@ -255,17 +255,14 @@ def oracle_sql() -> dict[str, str]:
       week_tokens / 7.0::DOUBLE AS daily_avg_tokens, week_cost / 7.0::DOUBLE AS daily_avg_cost FROM b"""
     utilisation = f"""SELECT CAST(block_tokens AS DOUBLE) / {LIMIT_5H} AS block_5h_utilization,
       CAST(week_tokens AS DOUBLE) / {LIMIT_WEEK} AS week_utilization FROM b"""
+    looked_up = f"""{USAGE} SELECT event_id, r_input AS input, r_output AS output,
+      r_write_5m AS cache_write_5m, r_write_1h AS cache_write_1h, r_read AS cache_read FROM usage"""
     ingested = f"""WITH {TRANSCRIPT}, {_priced('assistant_first')}
       SELECT event_id, cost_usd, CAST(total AS BIGINT) AS tokens FROM usage"""
     return {
         # pricing
         "pricing_key": f"{USAGE} SELECT event_id, rate_key FROM usage",
-        "rate_lookup": f"""{USAGE} SELECT event_id, r_input AS input, r_output AS output,
-            r_write_5m AS cache_write_5m, r_write_1h AS cache_write_1h, r_read AS cache_read
-            FROM usage""",
-        "rate_lookup_joined": f"""{USAGE} SELECT event_id, r_input AS input, r_output AS output,
-            r_write_5m AS cache_write_5m, r_write_1h AS cache_write_1h, r_read AS cache_read
-            FROM usage""",
+        **{name: looked_up for name in ("rate_lookup", "rate_lookup_book", "rate_lookup_joined")},
         "event_cost": f"{USAGE} SELECT event_id, cost_usd FROM usage",
         "reprice": f"""WITH {BASE}, {_priced('base', factor=RATE_FACTOR)}
             SELECT event_id, cost_usd FROM usage""",

@@ -71,11 +71,9 @@ def _query(build: Query) -> Query:
 # -- pricing ------------------------------------------------------------------------------
 
 
-def _rate_lookup(max_broadcast: int) -> Query:
+def _rate_lookup(**bounds: int) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = pricing.rate_lookup(
-            view.unpriced(spark, sf_dir), default_rates(spark), max_broadcast
-        )
+        found = pricing.rate_lookup(view.unpriced(spark, sf_dir), default_rates(spark), **bounds)
         return found.select("event_id", "rate.*")
 
     return build
@@ -317,8 +315,9 @@ def queries() -> dict[str, Query]:
         "pricing_key": _query(
             lambda s, d: unpriced(s, d).select("event_id", pricing.pricing_key().alias("rate_key"))
         ),
-        "rate_lookup": _query(_rate_lookup(pricing.MAX_BROADCAST_RATES)),
-        "rate_lookup_joined": _query(_rate_lookup(0)),
+        "rate_lookup": _query(_rate_lookup()),
+        "rate_lookup_book": _query(_rate_lookup(max_cases=0)),
+        "rate_lookup_joined": _query(_rate_lookup(max_cases=0, max_broadcast=0)),
         "event_cost": _on_usage(lambda u: u.select("event_id", "cost_usd")),
         "reprice": _query(_reprice),
         "parse_assistant": _query(

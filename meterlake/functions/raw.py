@@ -1,7 +1,8 @@
-"""Reading schema-less JSON log records as VARIANT.
+"""Reading schema-less JSON log lines.
 
-Numbers in the logs may be text, fractions, booleans or null; the VARIANT casts accept all
-of these (``"12"``, ``3.9`` -> 3, ``true`` -> 1) where a fixed JSON schema gives NULL.
+Only the fields that are asked for are materialised. Numbers are read as VARIANT and cast,
+because the logs may hold them as text, fractions, booleans or null (``"12"``, ``3.9`` -> 3,
+``true`` -> 1), where a numeric JSON schema gives NULL.
 """
 
 from __future__ import annotations
@@ -12,35 +13,61 @@ from pyspark.sql import functions as F
 #: Text forms of values that count as "nothing there".
 _EMPTY = ("", "[]", "{}")
 
+_STRICT = {"allowSingleQuotes": "false"}
 
-def text(record: Column, path: str) -> Column:
-    """A field as text, NULL where it is missing."""
-    return F.try_variant_get(record, path, "string")
 
+def _in_array(value: Column) -> Column:
+    return F.concat(F.lit("["), value, F.lit("]"))
 
-def filled(record: Column, path: str) -> Column:
-    """A field as text, NULL where it is missing or empty."""
-    return F.nullif(text(record, path), F.lit(""))
 
+def parse(lines: DataFrame, fields: str) -> DataFrame:
+    """Add ``record``, a struct of ``fields`` (DDL), NULL where the line is no JSON object.
 
-def count(record: Column, path: str) -> Column:
-    """A field as a whole number; missing, null and empty count as 0."""
-    return F.coalesce(F.try_variant_get(record, path, "bigint"), F.lit(0).cast("bigint"))
+    The line is parsed as the one element of an array: the parser would otherwise accept
+    an object followed by anything else, such as the torn begin of the next line.
+    """
+    parsed = F.from_json(_in_array(F.col("value")), f"ARRAY<STRUCT<{fields}>>", _STRICT)
+    whole = F.when(F.size("_parsed") == 1, F.get("_parsed", F.lit(0)))
+    return lines.withColumn("_parsed", parsed).withColumn("record", whole).drop("_parsed")
 
 
-def not_a_count(record: Column, path: str) -> Column:
-    """True where a field holds something that cannot be read as a number."""
-    as_text = text(record, path)
-    return (
-        F.try_variant_get(record, path, "bigint").isNull()
-        & as_text.isNotNull()
-        & ~as_text.isin(*_EMPTY)
+def reject_reason() -> Column:
+    """Why a line has no ``record``, NULL where it has one."""
+    is_json = F.try_parse_json(_in_array(F.col("value"))).isNotNull()
+    return F.when(
+        F.col("record").isNull(),
+        F.when(is_json, F.lit("not_an_object")).otherwise(F.lit("not_json")),
     )
 
 
-def is_object(value: Column) -> Column:
-    """Whether a (valid) JSON text holds an object."""
-    return F.ltrim(value).startswith("{")
+def filled(text: Column) -> Column:
+    """A text, NULL where it is empty."""
+    return F.nullif(text, F.lit(""))
+
+
+def count(number: Column) -> Column:
+    """A VARIANT as a whole number; missing, null and empty count as 0."""
+    return F.coalesce(F.try_variant_get(number, "$", "bigint"), F.lit(0).cast("bigint"))
+
+
+def any_bad_count(*numbers: Column) -> Column:
+    """True where one of the VARIANTs holds something that cannot be read as a number.
+
+    A null or empty value is no number either but counts as 0, so the few lines with an
+    unread value get a closer look.
+    """
+
+    def bad(number: Column) -> Column:
+        text = F.try_variant_get(number, "$", "string")
+        unread = F.try_variant_get(number, "$", "bigint").isNull()
+        return F.coalesce(unread & text.isNotNull() & ~text.isin(*_EMPTY), F.lit(False))
+
+    unread = F.lit(False)
+    for number in numbers:
+        unread = unread | (
+            number.isNotNull() & F.try_variant_get(number, "$", "bigint").isNull()
+        )
+    return unread & F.exists(F.array(*numbers), bad)
 
 
 def may_hold(value: Column, *words: str) -> Column:
@@ -50,10 +77,10 @@ def may_hold(value: Column, *words: str) -> Column:
     word nor such an escape cannot hold it. Lines that are not a closed object pass too:
     they are torn and belong to the rejects.
     """
-    test = value.contains("\\u") | ~F.rtrim(value).endswith("}")
+    test = F.lit(False)
     for word in words:
         test = test | value.contains(word)
-    return test
+    return test | value.contains("\\u") | ~F.rtrim(value).endswith("}")
 
 
 def keep(rows: DataFrame, condition: Column) -> DataFrame:
@@ -66,40 +93,24 @@ def keep(rows: DataFrame, condition: Column) -> DataFrame:
     return placed.filter(condition & (F.col("_task") >= 0)).drop("_task")
 
 
-#: The ISO-8601 forms that are accepted.
+#: The ISO-8601 forms that are accepted, extended and basic.
 _DAY = r"\d{4}(-\d{2}(-\d{2})?)?"
 _TIME = r"\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?"
 _ZONE = r"(Z|z|[+-]\d{2}(:?\d{2})?)?"
 _EXTENDED = rf"^{_DAY}$|^\d{{4}}-\d{{2}}-\d{{2}}[T ]{_TIME}{_ZONE}$"
-_BASIC = r"^(\d{4})(\d{2})(\d{2})(?:[T ](\d{2})(\d{2})?(\d{2})?(?:[.,](\d{1,9}))?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?$"
+_BASIC = rf"^\d{{8}}([T ]\d{{2}}(\d{{2}}(\d{{2}}([.,]\d{{1,9}})?)?)?{_ZONE})?$"
+_BASIC_FORMAT = "yyyyMMdd['T'HH[mm[ss[.SSSSSSSSS]]]][XXX][X]"
 
 
 def iso_timestamp(value: Column) -> Column:
     """Instant of an ISO-8601 text, NULL if it is none; without a zone it is UTC.
 
     Extended (``2026-06-18T12:00:00.5Z``) and basic (``20260618T120000Z``) forms, date
-    only, hour only, and offsets with or without a colon. The usual form, UTC with a dot,
-    needs one pattern match only.
+    only, hour only, and offsets with or without a colon.
     """
-    dotted = F.replace(value, F.lit(","), F.lit("."))
-    extended = F.when(
+    marks = F.translate(value, ", z", ".TZ")
+    colon_offset = F.regexp_replace(marks, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(
         value.rlike(_EXTENDED),
-        F.when(value.endswith("Z") & ~value.contains(","), value).otherwise(_colon_offset(dotted)),
-    )
-    parts = [F.regexp_extract(value, _BASIC, i) for i in range(1, 9)]
-    year, month, day, hour, minute, second, fraction, zone = parts
-    clock = [F.coalesce(F.nullif(p, F.lit("")), F.lit("00")) for p in (hour, minute, second)]
-    spelled = F.concat(
-        F.concat_ws("-", year, month, day),
-        F.lit("T"),
-        F.concat_ws(":", *clock),
-        F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
-        zone,
-    )
-    basic = F.when(value.rlike(_BASIC), _colon_offset(spelled))
-    return F.try_to_timestamp(F.coalesce(extended, basic))
-
-
-def _colon_offset(value: Column) -> Column:
-    """``+0200`` as ``+02:00``, and a lower-case zone letter in upper case."""
-    return F.upper(F.regexp_replace(value, r"([+-]\d{2})(\d{2})$", "$1:$2"))
+        F.try_to_timestamp(F.when(value.endswith("Z"), marks).otherwise(colon_offset)),
+    ).when(value.rlike(_BASIC), F.try_to_timestamp(marks, F.lit(_BASIC_FORMAT)))

