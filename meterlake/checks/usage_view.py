@@ -41,54 +41,44 @@ def _id() -> Column:
     return F.col("id")
 
 
-def _by_modulo(values: tuple) -> Column:
-    chosen = F
-    for i, value in enumerate(values):
-        chosen = chosen.when(_id() % len(values) == i, F.lit(value))
-    return chosen.cast("string")
+def _by_modulo(values: tuple) -> str:
+    quoted = [f"'{v}'" if v else "CAST(NULL AS STRING)" for v in values]
+    return f"element_at(array({', '.join(quoted)}), CAST(id % {len(values)} AS INT) + 1)"
 
 
 def usage_columns(events: DataFrame) -> DataFrame:
     """Usage columns of the ``events`` table, unpriced, plus ``id`` and ``user_id``."""
-    raw = events.select(
-        F.col("event_id").alias("id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    raw = events.selectExpr(
+        "event_id AS id",
+        "CAST(ts AS TIMESTAMP) AS ts",
         "user_id",
         "event_type",
+        "event_id % 3 < 2 AS is_claude",
     )
-    is_claude = _id() % 3 < 2
-    zero = F.lit(0).cast("bigint")
-    created = F.when(is_claude, (_id() * 71) % 3000).otherwise(zero)
-    return raw.select(
+    return raw.selectExpr(
         "id",
         "user_id",
         "event_type",
-        F.concat(F.lit("ev:"), _id()).alias("event_id"),
-        F.when(is_claude, F.lit("claude")).otherwise(F.lit("openai")).alias("provider"),
-        F.when(is_claude, F.lit("claude-code")).otherwise(F.lit("codex-cli")).alias("tool"),
-        F.concat(F.lit("req"), _id()).alias("request_id"),
-        F.when(_id() % 50 != 0, F.concat(F.lit("s"), "user_id", F.lit("-"), "event_type")).alias(
-            "session_id"
-        ),
-        F.when(is_claude, _by_modulo(CLAUDE_MODELS))
-        .otherwise(_by_modulo(OPENAI_MODELS))
-        .alias("model"),
+        "concat('ev:', id) AS event_id",
+        "if(is_claude, 'claude', 'openai') AS provider",
+        "if(is_claude, 'claude-code', 'codex-cli') AS tool",
+        "concat('req', id) AS request_id",
+        "if(id % 50 <> 0, concat('s', user_id, '-', event_type), NULL) AS session_id",
+        f"if(is_claude, {_by_modulo(CLAUDE_MODELS)}, {_by_modulo(OPENAI_MODELS)}) AS model",
         "ts",
-        ((_id() * 37) % 2000).alias("input_tokens"),
-        ((_id() * 53) % 1500).alias("output_tokens"),
-        created.alias("cache_creation_tokens"),
-        ((_id() * 97) % 20000).alias("cache_read_tokens"),
-        F.when(_id() % 4 != 0, created).otherwise(zero).alias("cache_create_5m"),
-        F.when(_id() % 4 == 0, created).otherwise(zero).alias("cache_create_1h"),
-        F.when(is_claude, zero).otherwise((_id() * 13) % 400).alias("reasoning_tokens"),
-        (_id() % 5).alias("web_search_requests"),
-        (_id() % 3).alias("web_fetch_requests"),
-        F.when(is_claude, F.lit("standard")).alias("service_tier"),
-        F.when(F.col("user_id") % 12 != 0, F.concat(F.lit("/home/u/p"), F.col("user_id") % 12)).alias(
-            "project"
-        ),
-        F.lit("main").alias("git_branch"),
-        F.concat(F.lit("/logs/u"), F.col("user_id"), F.lit(".jsonl")).alias("source_file"),
+        "(id * 37) % 2000 AS input_tokens",
+        "(id * 53) % 1500 AS output_tokens",
+        "if(is_claude, (id * 71) % 3000, 0L) AS cache_creation_tokens",
+        "(id * 97) % 20000 AS cache_read_tokens",
+        "if(is_claude AND id % 4 <> 0, (id * 71) % 3000, 0L) AS cache_create_5m",
+        "if(is_claude AND id % 4 = 0, (id * 71) % 3000, 0L) AS cache_create_1h",
+        "if(is_claude, 0L, (id * 13) % 400) AS reasoning_tokens",
+        "id % 5 AS web_search_requests",
+        "id % 3 AS web_fetch_requests",
+        "if(is_claude, 'standard', NULL) AS service_tier",
+        "if(user_id % 12 <> 0, concat('/home/u/p', user_id % 12), NULL) AS project",
+        "'main' AS git_branch",
+        "concat('/logs/u', user_id, '.jsonl') AS source_file",
     )
 
 

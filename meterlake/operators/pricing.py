@@ -43,23 +43,30 @@ def _no_rate() -> Column:
 
 
 def _match_with_cases(events: DataFrame, rates: list[Row]) -> DataFrame:
-    """The whole rate table as an expression, longest prefixes first."""
+    """The whole rate table as one SQL expression, longest prefixes first."""
 
-    def literal(row: Row) -> Column:
-        return F.struct(*[F.lit(float(row[n] or 0.0)).alias(n) for n in _RATE_FIELDS])
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def literal(row: dict) -> str:
+        fields = ", ".join(f"'{n}', {float(row.get(n) or 0.0)!r}D" for n in _RATE_FIELDS)
+        return f"named_struct({fields})"
 
     by_provider = defaultdict(list)
     for row in rates:
-        by_provider[row["provider"]].append(row)
-    rate = _no_rate()
+        by_provider[row["provider"]].append(row.asDict())
+    lists = []
     for provider, rows in by_provider.items():
-        choice = next((literal(r) for r in rows if r["model_prefix"] is None), _no_rate())
         named = [r for r in rows if r["model_prefix"] is not None]
-        for row in sorted(named, key=lambda r: len(r["model_prefix"])):
-            fits = F.col(_MODEL).startswith(row["model_prefix"])
-            choice = F.when(fits, literal(row)).otherwise(choice)
-        rate = F.when(F.col(_KEY) == provider, choice).otherwise(rate)
-    return events.withColumn("rate", rate)
+        default = next((r for r in rows if r["model_prefix"] is None), {})
+        choices = "".join(
+            f" WHEN startswith({_MODEL}, {text(r['model_prefix'])}) THEN {literal(r)}"
+            for r in sorted(named, key=lambda r: -len(r["model_prefix"]))
+        )
+        choice = f"CASE{choices} ELSE {literal(default)} END" if named else literal(default)
+        lists.append(f" WHEN {_KEY} = {text(provider)} THEN {choice}")
+    rate = f"CASE{''.join(lists)} ELSE {literal({})} END" if lists else literal({})
+    return events.withColumn("rate", F.expr(rate))
 
 
 def _book(rates: DataFrame) -> DataFrame:

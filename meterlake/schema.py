@@ -24,6 +24,9 @@ def _table(*columns: tuple[str, DataType]) -> StructType:
     return StructType([StructField(name, kind) for name, kind in columns])
 
 
+#: A log file as listed.
+LISTING = _table(("source", _TEXT), ("source_file", _TEXT), ("size", _COUNT), ("mtime", _INSTANT))
+
 #: One line of a log file. ``block_start`` and ``line_id`` order the lines of a file.
 LINES = _table(
     ("source_file", _TEXT), ("block_start", _COUNT), ("line_id", _COUNT), ("value", _TEXT)

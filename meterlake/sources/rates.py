@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import schema
+from meterlake.sources.local import local_table
 
 #: A rate file is a small hand-kept document; anything larger belongs in a table.
 MAX_RATE_FILE_BYTES = 8 * 1024 * 1024
@@ -46,7 +47,7 @@ DEFAULT_RATES = [
 
 
 def default_rates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_RATES, schema.RATES)
+    return local_table(spark, DEFAULT_RATES, schema.RATES)
 
 
 def rates_from_dict(spark: SparkSession, table: dict) -> DataFrame:
@@ -61,7 +62,7 @@ def rates_from_dict(spark: SparkSession, table: dict) -> DataFrame:
         entry = entry or {}
         rows.append(row(provider, None, entry.get("default")))
         rows += [row(provider, p, r) for p, r in (entry.get("models") or {}).items()]
-    return spark.createDataFrame(rows, schema.RATES)
+    return local_table(spark, rows, schema.RATES)
 
 
 def load_rates(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
