@@ -99,6 +99,8 @@ _TIME = r"\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?"
 _ZONE = r"(Z|z|[+-]\d{2}(:?\d{2})?)?"
 _EXTENDED = rf"^{_DAY}$|^\d{{4}}-\d{{2}}-\d{{2}}[T ]{_TIME}{_ZONE}$"
 _BASIC = rf"^\d{{8}}([T ]\d{{2}}(\d{{2}}(\d{{2}}([.,]\d{{1,9}})?)?)?{_ZONE})?$"
+#: Zone after hours or minutes, which the default parser does not take.
+_SHORT_FORMAT = "yyyy-MM-dd'T'HH[:mm][XXX][X]"
 _BASIC_FORMAT = "yyyyMMdd['T'HH[mm[ss[.SSSSSSSSS]]]][XXX][X]"
 
 
@@ -110,7 +112,10 @@ def iso_timestamp(value: Column) -> Column:
     """
     marks = F.translate(value, ", z", ".TZ")
     colon_offset = F.regexp_replace(marks, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    extended = F.when(value.endswith("Z"), marks).otherwise(colon_offset)
     return F.when(
         value.rlike(_EXTENDED),
-        F.try_to_timestamp(F.when(value.endswith("Z"), marks).otherwise(colon_offset)),
+        F.coalesce(
+            F.try_to_timestamp(extended), F.try_to_timestamp(extended, F.lit(_SHORT_FORMAT))
+        ),
     ).when(value.rlike(_BASIC), F.try_to_timestamp(marks, F.lit(_BASIC_FORMAT)))

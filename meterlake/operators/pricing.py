@@ -105,7 +105,7 @@ def _match_with_joins(events: DataFrame, rates: DataFrame) -> DataFrame:
         "_prefix",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.length(_MODEL)), lambda n: F.left(F.col(_MODEL), n)
+                F.sequence(F.lit(0), F.length(_MODEL)), lambda n: F.left(F.col(_MODEL), n)
             )
         ),
     )
