@@ -1,0 +1,175 @@
+"""Tailing, continuous ingest and stream roll-ups."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterlake import schema
+from meterlake.plans.ingest import ingest
+from meterlake.plans.store import Warehouse
+from meterlake.sources.rates import default_rates
+from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS
+from meterlake.sources.tail import GrowingLogsReader, _lines, _open
+from meterlake.streaming.ingest import stream_ingest
+from meterlake.streaming.rollups import stream_daily
+from tests.conftest import by_key, model, rollout_name, session, tokens, turn, write_lines
+
+
+def _read(reader, start, end):
+    out = []
+    for part in reader.partitions(start, end):
+        for batch in reader.read(part):
+            out += batch.to_pylist()
+    return out
+
+
+def test_reader_offsets(tmp_path):
+    spec = {"s": {"root": str(tmp_path), "glob": "*.jsonl"}}
+    path = tmp_path / "d" / "a b.jsonl"
+    write_lines(path, ["one", "", "two", "thr"], end="")
+    (tmp_path / "x.txt").write_text("no\n")
+    reader = GrowingLogsReader(spec, 1 << 20)
+    first = reader.latestOffset()
+    assert first == {"s": {str(path): len("one\n\ntwo\n")}}
+    assert [r["value"] for r in _read(reader, {}, first)] == ["one", "two"]
+    with path.open("a") as file:
+        file.write("ee\nfour\n")
+    second = reader.latestOffset()
+    rows = _read(reader, first, second)
+    assert [(r["value"], r["line_id"]) for r in rows] == [("three", 9), ("four", 15)]
+    assert reader.partitions(second, reader.latestOffset()) == []
+    path.write_text("new\n")  # cut and written anew: read from the start
+    third = reader.latestOffset()
+    assert [r["value"] for r in _read(reader, second, third)] == ["new"]
+    assert GrowingLogsReader({"s": {"root": str(tmp_path / "no"), "glob": "*"}}, 9).latestOffset() == {
+        "s": {}
+    }
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 10, 64])
+def test_reader_ranges_give_each_line_once(tmp_path, size):
+    lines = ["a" * n for n in (1, 2, 9, 0, 3, 30, 1, 1, 5)]
+    path = write_lines(tmp_path / "a.jsonl", lines)
+    reader = GrowingLogsReader({"s": {"root": str(tmp_path), "glob": "*.jsonl"}}, size)
+    end = reader.latestOffset()
+    rows = _read(reader, {}, end)
+    assert [r["value"] for r in rows] == [line for line in lines if line]
+    parts = reader.partitions({}, end)
+    assert max(p.end - p.start for p in parts) <= size
+    filesystem, _ = _open(str(tmp_path))
+    offsets = [offset for part in parts for offset, _ in _lines(filesystem, part)]
+    text = path.read_bytes()
+    assert offsets == [0] + [i + 1 for i, b in enumerate(text[:-1]) if b == 10]
+
+
+class Stream:
+    def __init__(self, spark, root):
+        self.spark, self.root = spark, root
+        self.warehouse = Warehouse(spark, str(root / "tables"))
+        self.rates = default_rates(spark)
+
+    def run(self, source):
+        stream_ingest(
+            self.spark,
+            self.warehouse,
+            source,
+            str(self.root / source.name),
+            self.rates,
+            str(self.root / f"checkpoint-{source.name}"),
+            every=None,
+            max_range=300,
+        ).awaitTermination()
+
+    def rows(self):
+        return by_key(self.warehouse.events().collect(), "event_id")
+
+
+def test_rollouts_continue_over_micro_batches(spark, tmp_path):
+    """Model, session and number carry on; the result equals a batch pass over the files."""
+    stream = Stream(spark, tmp_path)
+    one, two = (tmp_path / "codex" / rollout_name(n) for n in (1, 2))
+    write_lines(one, [session("s-one"), model("gpt-4o"), tokens(), tokens()])
+    write_lines(two, [tokens(), model("o3"), json.dumps(tokens())[:40]], end="")
+    stream.run(ROLLOUT_LOGS)
+    assert len(stream.rows()) == 3
+    write_lines(one, [tokens(50), session("s-new"), tokens()], "a")
+    stream.run(ROLLOUT_LOGS)
+    with two.open("a") as file:
+        file.write(json.dumps(tokens())[40:] + "\n")
+    write_lines(one, [model("gpt-5.5"), tokens()], "a")
+    stream.run(ROLLOUT_LOGS)
+    stream.run(ROLLOUT_LOGS)
+    rows = stream.rows()
+    named = "00000002-1111-2222-3333-444444444444"
+    assert {i: r.model for i, r in rows.items()} == {
+        "codex:s-one:1": "gpt-4o",
+        "codex:s-one:2": "gpt-4o",
+        "codex:s-one:3": "gpt-4o",
+        "codex:s-new:4": "gpt-4o",
+        "codex:s-new:5": "gpt-5.5",
+        f"codex:{named}:1": None,
+        f"codex:{named}:2": "o3",
+    }
+    batch = Warehouse(spark, str(tmp_path / "batch"))
+    ingest(spark, batch, {"codex": str(tmp_path / "codex")}, stream.rates)
+    columns = schema.USAGE_EVENT.fieldNames()
+    same = stream.warehouse.events().select(columns).exceptAll(batch.events().select(columns))
+    assert same.count() == 0 and batch.events().count() == len(rows)
+
+
+def test_transcripts_are_never_counted_twice(spark, tmp_path):
+    stream = Stream(spark, tmp_path)
+    file = write_lines(tmp_path / "claude" / "s.jsonl", [turn("A"), turn("A"), turn("B")])
+    stream.run(ASSISTANT_LOGS)
+    write_lines(file, [turn("A"), turn("C")], "a")
+    write_lines(tmp_path / "claude" / "t.jsonl", [turn("B"), turn("D")])
+    stream.run(ASSISTANT_LOGS)
+    assert sorted(stream.rows()) == ["claude:A", "claude:B", "claude:C", "claude:D"]
+    assert stream.rows()["claude:B"].source_file == str(file)
+
+
+def test_a_repeated_micro_batch_replaces_itself(spark, tmp_path):
+    """As after a crash between the table write and the commit of the batch."""
+    stream = Stream(spark, tmp_path)
+    folder = tmp_path / "codex"
+    file = write_lines(folder / rollout_name(), [session("s"), model("o3"), tokens()])
+    stream.run(ROLLOUT_LOGS)
+    write_lines(file, [tokens(), tokens()], "a")
+    stream.run(ROLLOUT_LOGS)
+    before = stream.warehouse.events().collect()
+    commits = tmp_path / "checkpoint-codex" / "commits"
+    (commits / "1").unlink()
+    (commits / ".1.crc").unlink(missing_ok=True)
+    stream.run(ROLLOUT_LOGS)
+    after = stream.warehouse.events().collect()
+    assert sorted(before) == sorted(after) and len(after) == 3
+
+
+def test_late_rows_miss_the_stream_window_only(spark, tmp_path):
+    utc = dt.timezone.utc
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    columns = (
+        "ts timestamp, provider string, cost_usd double, input_tokens bigint, output_tokens "
+        "bigint, cache_creation_tokens bigint, cache_read_tokens bigint"
+    )
+
+    def add(*days):
+        rows = [(dt.datetime(2026, 6, d, 12, tzinfo=utc), "claude", 0.1, 1, 2, 3, 4) for d in days]
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        events = spark.readStream.schema(columns).parquet(source)
+        daily = stream_daily(events, "America/New_York")
+        query = daily.writeStream.option("checkpointLocation", str(tmp_path / "c")).option("path", out)
+        query.format("parquet").trigger(availableNow=True).start().awaitTermination()
+        return {r.day.day: r.tokens for r in spark.read.schema(daily.schema).parquet(out).collect()}
+
+    add(1, 1, 2)
+    assert run() == {}
+    add(5)
+    assert run() == {1: 20, 2: 10}
+    add(1, 9)  # day 1 is closed
+    assert run() == {1: 20, 2: 10, 5: 10}
+    assert spark.read.parquet(source).filter(F.dayofmonth("ts") == 1).count() == 3
