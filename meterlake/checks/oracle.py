@@ -312,9 +312,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT source_file, id * 10 + copy AS line_id,
               CASE WHEN torn THEN 'not_json' ELSE 'not_an_object' END AS reason
             FROM copies WHERE torn OR is_array""",
-        "discover_files": f"WITH {TRANSCRIPT} SELECT DISTINCT user_id, true AS has_data FROM copies",
+        "discover_files": f"WITH {TRANSCRIPT} SELECT DISTINCT user_id % 16 AS folder, true AS has_data FROM copies",
         "read_log_lines": f"""WITH {TRANSCRIPT}
-            SELECT user_id, count(*) AS lines FROM copies GROUP BY user_id""",
+            SELECT user_id % 16 AS folder, count(*) AS lines FROM copies GROUP BY 1""",
         "ingest": ingested,
         # totals
         "window_totals": _windows(

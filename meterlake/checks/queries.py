@@ -183,33 +183,34 @@ def _metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- files --------------------------------------------------------------------------------
 
-_USER = r"/user=(\d+)/"
+_FOLDERS = 16
 #: Spark names the text files it writes itself.
 _WRITTEN = "part-*"
 _TRANSCRIPTS = replace(ASSISTANT_LOGS, glob=_WRITTEN)
 
 
 def _write_transcripts(spark: SparkSession, sf_dir: str) -> str:
-    """The transcript lines as text files, one folder per user."""
+    """The transcript lines as text files, in a folder per group of users."""
     root = scratch_dir(spark, "transcripts")
-    user = F.regexp_extract("source_file", r"(\d+)\.jsonl$", 1)
-    lines = view.transcript_lines(spark, sf_dir).select(user.alias("user"), "value")
-    lines.hint("rebalance", "user").write.partitionBy("user").text(root)
+    user = F.regexp_extract("source_file", r"(\d+)\.jsonl$", 1).cast("bigint")
+    lines = view.transcript_lines(spark, sf_dir).select((user % _FOLDERS).alias("folder"), "value")
+    lines.hint("rebalance", "folder").write.partitionBy("folder").text(root)
     return root
 
 
-def _user_of_path() -> Column:
-    return F.regexp_extract("source_file", _USER, 1).cast("bigint").alias("user_id")
+def _folder_of_path() -> Column:
+    folder = F.regexp_extract("source_file", r"/folder=(\d+)/", 1)
+    return folder.cast("bigint").alias("folder")
 
 
 def _discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = discover_files(spark, "claude", _write_transcripts(spark, sf_dir), _WRITTEN)
-    return files.groupBy(_user_of_path()).agg((F.sum("size") > 0).alias("has_data"))
+    return files.groupBy(_folder_of_path()).agg((F.sum("size") > 0).alias("has_data"))
 
 
 def _read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_log_lines(spark, _write_transcripts(spark, sf_dir), _WRITTEN)
-    return lines.groupBy(_user_of_path()).agg(F.count("*").alias("lines"))
+    return lines.groupBy(_folder_of_path()).agg(F.count("*").alias("lines"))
 
 
 def _stored(warehouse: Warehouse) -> DataFrame:

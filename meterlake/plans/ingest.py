@@ -78,9 +78,9 @@ def ingest(
     failure, adds nothing twice: ids already stored are left out.
     """
     pricing = reprice_if_needed(warehouse, rates, pricing_hash)
-    ingest_pass = new_pass_id()
+    ingest_pass, version = new_pass_id(), warehouse.version()
     folder = scratch_dir(spark, f"ingest-{ingest_pass}")
-    state = warehouse.ingest_state()
+    state = warehouse.ingest_state(version)
 
     listings, changes, parsed, rejects = [], [], [], []
     for source in (s for s in sources.values() if s.name in roots):
@@ -100,9 +100,9 @@ def ingest(
 
     batch = price(dedup_first(canonical_union(*parsed)), rates)
     batch = stage(spark, batch, f"{folder}/events")
-    warehouse.append_events(new_events(batch, warehouse.events()), ingest_pass)
+    warehouse.append_events(new_events(batch, warehouse.events(version)), ingest_pass, version)
 
-    written = warehouse.events().filter(F.col("ingest_pass") == ingest_pass)
+    written = warehouse.events(version).filter(F.col("ingest_pass") == ingest_pass)
     counts = rows_per_file(written, sources.values())
     warehouse.append_state(
         _union(changes)
@@ -114,7 +114,8 @@ def ingest(
             F.col("size").alias("last_size"),
             F.coalesce("rows", F.lit(0)).alias("rows"),
             F.current_timestamp().alias("updated_at"),
-        )
+        ),
+        version,
     )
     summary = ingest_summary(_union(listings), counts)
     return IngestResult(ingest_pass, summary, _union(rejects), pricing)

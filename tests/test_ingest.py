@@ -112,7 +112,7 @@ def test_change_detection(setup, tmp_path):
 def test_a_pass_repeated_after_a_crash_adds_nothing(setup, monkeypatch):
     write_lines(setup.claude / "s.jsonl", [turn("A"), turn("B")])
 
-    def crash(self, batch):
+    def crash(self, batch, version=None):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
@@ -142,7 +142,7 @@ def test_reprice_when_the_rates_change(setup, monkeypatch):
 
     setup.rates, setup.hash = _flat(setup.spark, 2.5), "rates-2"
     with monkeypatch.context() as patch:  # a failed rewrite leaves the old version valid
-        patch.setattr(Warehouse, "ingest_state", lambda self: 1 / 0)
+        patch.setattr(Warehouse, "ingest_state", lambda self, version=None: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             setup.run()
     assert cost() == [1.0] and setup.warehouse.get(PRICING_HASH) == "rates-1"

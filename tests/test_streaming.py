@@ -11,7 +11,7 @@ from meterlake.plans.ingest import ingest
 from meterlake.plans.store import Warehouse
 from meterlake.sources.rates import default_rates
 from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS
-from meterlake.sources.tail import GrowingLogsReader, _lines, _open
+from meterlake.sources.tail import MAX_RANGE, ByteRange, GrowingLogsReader, _lines, _open, pack
 from meterlake.streaming.ingest import stream_ingest
 from meterlake.streaming.rollups import stream_daily
 from tests.conftest import by_key, model, rollout_name, session, tokens, turn, write_lines
@@ -57,13 +57,25 @@ def test_reader_ranges_give_each_line_once(tmp_path, size):
     rows = _read(reader, {}, end)
     assert [r["value"] for r in rows] == [line for line in lines if line]
     parts = reader.partitions({}, end)
-    assert max(p.end - p.start for p in parts) <= size
+    ranges = [r for part in parts for r in part.ranges]
+    assert max(r.end - r.start for r in ranges) <= size
     filesystem, _ = _open(str(tmp_path))
-    offsets = [offset for part in parts for offset, _ in _lines(filesystem, part)]
+    offsets = [offset for r in ranges for offset, _ in _lines(filesystem, r)]
     text = path.read_bytes()
     assert offsets == [0] + [i + 1 for i, b in enumerate(text[:-1]) if b == 10]
 
 
+def test_small_ranges_share_a_task():
+    ranges = [ByteRange("s", f"f{i}", 0, 1000, False, 1000) for i in range(1000)]
+    packs = pack(ranges, MAX_RANGE, 8)
+    assert [r for p in packs for r in p.ranges] == ranges
+    assert 8 <= len(packs) <= 17
+    assert len(pack(ranges[:3], MAX_RANGE, 8)) == 3
+    large = [ByteRange("s", "f", i, i + MAX_RANGE, i > 0, MAX_RANGE) for i in range(5)]
+    assert len(pack(large, MAX_RANGE, 1)) == 5
+    assert pack([], MAX_RANGE, 8) == []
+
+
 class Stream:
     def __init__(self, spark, root):
         self.spark, self.root = spark, root
