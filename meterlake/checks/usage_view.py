@@ -98,6 +98,12 @@ def unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select(*schema.PARSED_EVENT.fieldNames())
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores before the text work, if the table has fewer files than cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
@@ -111,7 +117,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache split (% 6 = 1), split without total (% 10 = 2), basic timestamp (% 8 = 3), first
     copy torn (% 19 = 0), second copy an array (% 31 = 0).
     """
-    rows = base(spark, sf_dir).filter(F.col("provider") == "claude")
+    rows = _spread(base(spark, sf_dir).filter(F.col("provider") == "claude"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), (1 + _id() % 3).cast("int"))))
     idle = _id() % 17 == 0
 
@@ -192,7 +198,7 @@ def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ignored. Counts are zero where id % 17 = 0; cached exceeds the input at times; text
     where id % 5 = 0.
     """
-    rows = base(spark, sf_dir).filter(F.col("provider") == "openai")
+    rows = _spread(base(spark, sf_dir).filter(F.col("provider") == "openai"))
     stamp = _stamp(F.col("ts"))
 
     def tagged(kind: str, payload: Column) -> Column:
