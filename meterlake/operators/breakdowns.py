@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from meterlake.functions import money
 from meterlake.functions.tokens import cache_hit_ratio, total_tokens
 
+#: Top lists up to this length are broadcast to look up their texts.
+MAX_BROADCAST_WINNERS = 100_000
+
 #: Measures of a breakdown and the columns they sum.
 CLASSES = {
     "input": "input_tokens",
@@ -70,7 +73,7 @@ def top_sessions(events: DataFrame, limit: int = 25) -> DataFrame:
     """The ``limit`` dearest sessions with the provider, model and project they began with.
 
     Ranking needs numbers only, so it stays a hash aggregation. The text columns are then
-    looked up for the winners alone: at most ``limit`` rows are broadcast.
+    looked up for the winners alone: at most ``limit`` rows, broadcast unless the list is very long.
     """
     ranked = (
         events.filter(F.col("session_id").isNotNull())
@@ -92,8 +95,9 @@ def top_sessions(events: DataFrame, limit: int = 25) -> DataFrame:
 
     texts = events.select("session_id", "ts", "event_id", "provider", "model", "project")
     keys = ranked.columns
+    winners = F.broadcast(ranked) if limit <= MAX_BROADCAST_WINNERS else ranked
     return (
-        texts.join(F.broadcast(ranked), "session_id")
+        texts.join(winners, "session_id")
         .groupBy(*keys)
         .agg(*[first_given(name) for name in ("provider", "model", "project")])
         .select("session_id", "provider", "model", "project", *keys[1:])

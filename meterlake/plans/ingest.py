@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,16 @@ from meterlake.operators.pricing import price
 from meterlake.plans.reprice import RepriceResult, reprice_if_needed
 from meterlake.plans.session import scratch_dir
 from meterlake.plans.store import Warehouse, new_pass_id
-from meterlake.sources.files import changed_files, discover_files, read_changed_lines
+from meterlake.sources.files import (
+    changed_files,
+    discover_files,
+    read_changed_lines,
+    readable_files,
+)
 from meterlake.sources.registry import SOURCES, Source
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class IngestResult:
@@ -87,8 +97,20 @@ def ingest(
         root = roots[source.name]
         listing = discover_files(spark, source.name, root, source.glob)
         changed = changed_files(listing, state)
-        lines = read_changed_lines(spark, root, source.glob, changed)
-        records = stage(spark, source.records(lines), f"{folder}/records-{source.name}")
+        path = f"{folder}/records-{source.name}"
+
+        def records_of(files: DataFrame) -> DataFrame:
+            lines = read_changed_lines(spark, root, source.glob, files)
+            return stage(spark, source.records(lines), path)
+
+        try:
+            records = records_of(changed)
+        except (Py4JJavaError, PySparkException) as exc:
+            # Leave out what cannot be read; it stays changed and is tried in the next pass.
+            log.warning("%s: reading failed, looking for unreadable files: %s", source.name, exc)
+            readable = readable_files(spark, root, source.glob, changed)
+            changed = stage(spark, readable, f"{folder}/readable-{source.name}")
+            records = records_of(changed)
         listings.append(listing)
         changes.append(changed)
         parsed.append(source.events(records))

@@ -124,6 +124,23 @@ def test_a_pass_repeated_after_a_crash_adds_nothing(setup, monkeypatch):
     assert setup.ids() == ["claude:A", "claude:B"]
 
 
+def test_an_unreadable_file_is_left_for_the_next_pass(setup):
+    """A wrong checksum beside a file makes reading it fail."""
+    write_lines(setup.claude / "good.jsonl", [turn("A"), ""])
+    write_lines(setup.claude / "end.jsonl", [turn("B")], end="")
+    write_lines(setup.claude / "empty.jsonl", [], end="")
+    write_lines(setup.claude / "bad.jsonl", [turn("C")])
+    checksum = setup.claude / ".bad.jsonl.crc"
+    checksum.write_bytes(b"crc\0\0\0\x02\0" + b"\1\2\3\4")
+    assert setup.run() == {"claude": (3, 2, 2)}
+    assert setup.ids() == ["claude:A", "claude:B"]
+    assert setup.warehouse.ingest_state().count() == 2
+    checksum.write_bytes(b"")
+    checksum.unlink()
+    assert setup.run() == {"claude": (3, 1, 1)}
+    assert setup.ids() == ["claude:A", "claude:B", "claude:C"]
+
+
 def _flat(spark, rate):
     return rates_from_dict(spark, {"anthropic": {"default": {"input": rate}}})
 
