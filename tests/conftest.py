@@ -17,9 +17,11 @@ def spark(tmp_path_factory):
     builder = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
     settings = {
         **BUILD_SETTINGS,
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "3",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "4g",
+        # Short jobs gain more from quick compilation than from optimised code.
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
