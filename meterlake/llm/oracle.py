@@ -22,4 +22,26 @@ SELECT page_id, host, path, arg_max(fit, length(fit)) AS rule,
 FROM fits GROUP BY page_id, host, path
 """
 
-ORACLE: dict[str, str] = {"op5_url_filters": _URL}
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding)
+        AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS s, b.vec_id AS t FROM v a JOIN v b
+        ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(s, t) AS (
+    SELECT s, t FROM links UNION SELECT r.s, l.t FROM reach r JOIN links l ON r.t = l.s
+), low AS (SELECT s, min(t) AS t FROM reach GROUP BY s),
+direct AS (SELECT s, count(*) AS n FROM links GROUP BY s)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(t, vec_id)) AS component_id,
+    vec_id <= coalesce(t, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.s LEFT JOIN direct ON vec_id = direct.s
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_embedding_near_dedup": _EMBEDDINGS,
+    "op5_url_filters": _URL,
+}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import encode_documents
+from meterlake.llm.embedding_dedup import near_duplicates
 from meterlake.llm.url_filter import Rule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(
         _table(spark, sf_dir, "documents"),
@@ -46,6 +51,7 @@ def _url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_near_dedup": _embedding_dedup,
     "op4_byte_bpe": _bpe,
     "op5_url_filters": _url_filters,
 }
