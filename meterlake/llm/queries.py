@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.llm import language_id, toxicity
 from meterlake.llm.bpe import encode_documents
 from meterlake.llm.embedding_dedup import near_duplicates
 from meterlake.llm.url_filter import Rule, filter_urls
@@ -32,6 +33,18 @@ def _embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    network = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, network)
+    return found.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+
+
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(
         _table(spark, sf_dir, "documents"),
@@ -52,6 +65,8 @@ def _url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": _embedding_dedup,
+    "op3_toxicity": _toxicity,
     "op4_byte_bpe": _bpe,
     "op5_url_filters": _url_filters,
+    "op7_language_id": _language_id,
 }
