@@ -41,7 +41,37 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(t, vec_id)) AS
 FROM embeddings LEFT JOIN low ON vec_id = low.s LEFT JOIN direct ON vec_id = direct.s
 """
 
+_JACCARD = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+    SELECT doc_id, CASE
+        WHEN coalesce(len(words), 0) = 0 THEN []::VARCHAR[]
+        WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 1),
+            lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS s
+    FROM w
+), classes AS (
+    SELECT min(doc_id) AS id, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets)
+    WHERE len(s) > 0 GROUP BY s
+), grams AS (SELECT id, n, unnest(s) AS g FROM classes),
+links AS (
+    SELECT a.id AS s, b.id AS t FROM grams a JOIN grams b
+        ON a.g = b.g AND a.id <> b.id AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+    GROUP BY a.id, b.id, a.n, b.n
+    HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(s, t) AS (
+    SELECT s, t FROM links UNION SELECT r.s, l.t FROM reach r JOIN links l ON r.t = l.s
+), low AS (SELECT s, min(t) AS t FROM reach GROUP BY s)
+SELECT doc_id, len(sets.s) AS n_shingles,
+    least(coalesce(id, doc_id), coalesce(low.t, id, doc_id)) AS component_id
+FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND list_sort(sets.s) = classes.s
+LEFT JOIN low ON classes.id = low.s
+"""
+
 ORACLE: dict[str, str] = {
     "op1_embedding_near_dedup": _EMBEDDINGS,
     "op5_url_filters": _URL,
+    "op6_ngram_jaccard_join": _JACCARD,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meterlake.llm import language_id, toxicity
 from meterlake.llm.bpe import encode_documents
 from meterlake.llm.embedding_dedup import near_duplicates
+from meterlake.llm.jaccard_join import similar_components
 from meterlake.llm.url_filter import Rule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,10 @@ def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", language_id.held_out(F.col("doc_id")))
 
 
+def _jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(
         _table(spark, sf_dir, "documents"),
@@ -68,5 +73,6 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": _toxicity,
     "op4_byte_bpe": _bpe,
     "op5_url_filters": _url_filters,
+    "op6_ngram_jaccard_join": _jaccard_join,
     "op7_language_id": _language_id,
 }
