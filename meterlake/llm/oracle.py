@@ -70,8 +70,61 @@ FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND list_sort(sets.s) = classes.s
 LEFT JOIN low ON classes.id = low.s
 """
 
+_SUFFIX = """
+WITH d AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), h AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
+win AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+    FROM h, unnest(range(0, greatest(n - 49, 0))) AS t(i)
+), hit AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM win)
+    WHERE doc_id > f
+), marked AS (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+        SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50
+            THEN 0 ELSE 1 END AS new FROM hit)
+), spans AS (
+    SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM marked GROUP BY doc_id, g
+), pieces AS (
+    SELECT doc_id, b, substr(h, 2 * p + 1, 2 * (b - p)) AS piece FROM (
+        SELECT doc_id, h, b, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS p FROM (
+            SELECT doc_id, h, b, e FROM spans JOIN h USING (doc_id)
+            UNION ALL SELECT doc_id, h, n, n FROM h))
+), kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY b) AS k FROM pieces GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(e - b) AS r, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed,
+    coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+_SUBSTRING = r"""
+WITH w AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
+    FROM documents
+), win AS (
+    SELECT doc_id, i, array_to_string(words[i + 1:i + 20], ' ') AS s
+    FROM w, unnest(range(0, greatest(len(words) - 19, 0))) AS t(i)
+), hit AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i,
+        row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM win) WHERE n > 1
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS p FROM hit, unnest(range(0, 20)) AS t(k)
+), each AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS p FROM w
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n
+    FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+    sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_embedding_near_dedup": _EMBEDDINGS,
     "op5_url_filters": _URL,
     "op6_ngram_jaccard_join": _JACCARD,
+    "op8_suffix_array_dedup": _SUFFIX,
+    "op10_substring_dedup": _SUBSTRING,
 }

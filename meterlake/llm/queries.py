@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import language_id, toxicity
+from meterlake.llm import language_id, recompression, suffix_dedup, toxicity
 from meterlake.llm.bpe import encode_documents
 from meterlake.llm.embedding_dedup import near_duplicates
 from meterlake.llm.jaccard_join import similar_components
@@ -50,6 +50,16 @@ def _jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=20)
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(
         _table(spark, sf_dir, "documents"),
@@ -75,4 +85,6 @@ QUERIES: dict[str, Query] = {
     "op5_url_filters": _url_filters,
     "op6_ngram_jaccard_join": _jaccard_join,
     "op7_language_id": _language_id,
+    "op8_suffix_array_dedup": _suffix_dedup,
+    "op10_substring_dedup": _substring_dedup,
 }
