@@ -34,13 +34,15 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], sized: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that column ``sized`` holds about BATCH_BYTES; rows stay whole."""
+def slices(
+    batches: Iterable[pa.RecordBatch], sized: str, size: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column ``sized`` holds about ``size`` bytes; rows stay whole."""
     for batch in batches:
         column = batch.column(sized)
         if not len(column):
             continue
-        step = max(1, int(len(column) * BATCH_BYTES / max(1, column.nbytes)))
+        step = max(1, int(len(column) * size / max(1, column.nbytes)))
         for start in range(0, len(column), step):
             yield batch.slice(start, step)
 

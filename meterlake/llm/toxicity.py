@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import staged
+from meterlake.llm.common import slices, staged
 
 #: Labelled rows fitted on, features kept, documents a feature must occur in.
 SAMPLE, FEATURES, LEAST_DOCS = 20_000, 1024, 5
@@ -27,6 +27,8 @@ SURE, LEAST_SHARE = 3.0, 0.4
 #: Length of the word beginnings that count as features, and the mark before them.
 STEM, MARK = 4, "^"
 ROUNDS, RATE, RIDGE = 1500, 0.3, 1e-6
+#: Text whose words a task holds at once.
+WORD_BYTES = 1 << 20
 _WORDS = re.compile(r"\w+")
 
 
@@ -117,7 +119,7 @@ def train(
     )
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", WORD_BYTES):
             found = [sorted(features_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -192,7 +194,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     id_type = dict(docs.dtypes)[id_col]
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", WORD_BYTES):
             chances = [shared.value.at_least(features_of(t)) for t in batch.column("text").to_pylist()]
             steps = [-np.diff(np.concatenate([[1.0], c, [0.0]])) for c in chances]
             yield pa.RecordBatch.from_arrays(
