@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,3 +101,85 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(
         links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
     )
+
+
+#: Bits of the bitmap that holds which keys occur; a fixed size (1 MB), so it can be sent to
+#: all tasks. With very many keys it lets more rows pass, never fewer.
+KEY_BITS, MAP_BITS = 1 << 23, 1 << 15
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows with a boolean ``listed``: whether ``key`` may occur in ``keys``.
+
+    False is certain, so rows that a join would not meet need no shuffle.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+    bucket, bit = F.floor(place / MAP_BITS), F.pmod(place, F.lit(MAP_BITS))
+    maps = keys.groupBy(bucket.alias("bucket_")).agg(F.bitmap_construct_agg(bit).alias("bits_"))
+    byte = F.conv(F.hex(F.expr("substring(bits_, cast(byte_ as int) + 1, 1)")), 16, 10).cast("int")
+    return (
+        rows.withColumn("bucket_", bucket)
+        .withColumn("byte_", F.floor(bit / 8))
+        .withColumn("shift_", F.pmod(bit, F.lit(8)).cast("int"))
+        .join(F.broadcast(maps), "bucket_", "left")
+        .withColumn("listed", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, shift_)")) != 0, F.lit(False)))
+        .drop("bucket_", "byte_", "shift_", "bits_")
+    )
+
+
+#: Rounds that compare one member of each list with the others.
+STAR_ROUNDS = 3
+
+
+def linking_pairs(
+    lists: DataFrame,
+    fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    verified: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Verified links (src, dst) that hold together the components of all true links.
+
+    ``lists`` are (token, sid, ...): members that share a token may link. ``fits(one, other)``
+    says of two members' columns whether they can; ``verified`` keeps the true ones of some
+    pairs (src, dst). A token of many similar members would give all their pairs, so some
+    rounds first compare one member of each list with the rest. Lists that are one component
+    are done; the last round compares what is still apart, each with each.
+    """
+    spark = lists.sparkSession
+    extra = [c for c in lists.columns if c not in ("token", "sid")]
+    links = tested = spark.createDataFrame([], "src long, dst long")
+    left_open = lists.withColumn("comp", F.col("sid"))
+    for round_ in range(STAR_ROUNDS + 1):
+        if left_open.isEmpty():
+            break
+        one = left_open.select("token", *[F.col(c).alias(f"{c}_1") for c in ("sid", "comp", *extra)])
+        apart = F.col("comp_1") < F.col("comp")
+        if round_ < STAR_ROUNDS:
+            member = F.struct(*[c for c in one.columns if c != "token"])
+            one = one.groupBy("token").agg(
+                F.min_by(member, F.xxhash64("sid_1", F.lit(round_))).alias("member")
+            ).select("token", "member.*")
+            apart = F.col("comp_1") != F.col("comp")
+        pairs = staged(
+            left_open.join(
+                one,
+                (left_open.token == one.token) & apart & fits(lambda c: F.col(f"{c}_1"), lambda c: F.col(c)),
+            )
+            .select(F.least("sid_1", "sid").alias("src"), F.greatest("sid_1", "sid").alias("dst"))
+            .distinct()
+            .join(tested, ["src", "dst"], "left_anti"),
+            "pairs",
+        )
+        tested = tested.union(pairs)
+        links = links.union(staged(verified(pairs), "verified"))
+        found = components(links).withColumnRenamed("node", "sid")
+        now = lists.join(found, "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+        apart_still = (
+            now.groupBy("token")
+            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .filter("lo <> hi")
+            .select("token")
+        )
+        left_open = staged(
+            now.join(apart_still, "token", "left_semi").select("token", "sid", *extra, "comp"), "lists"
+        )
+    return links

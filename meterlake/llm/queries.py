@@ -12,6 +12,7 @@ from meterlake.llm import language_id, recompression, suffix_dedup, toxicity
 from meterlake.llm.bpe import encode_documents
 from meterlake.llm.embedding_dedup import near_duplicates
 from meterlake.llm.jaccard_join import similar_components
+from meterlake.llm.line_dedup import remove_lines
 from meterlake.llm.url_filter import Rule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,16 @@ def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = remove_lines(docs)
+    return kept.select(
+        "doc_id",
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(
         _table(spark, sf_dir, "documents"),
@@ -86,5 +97,6 @@ QUERIES: dict[str, Query] = {
     "op6_ngram_jaccard_join": _jaccard_join,
     "op7_language_id": _language_id,
     "op8_suffix_array_dedup": _suffix_dedup,
+    "op9_line_dedup": _line_dedup,
     "op10_substring_dedup": _substring_dedup,
 }
