@@ -6,31 +6,31 @@ the same prefix and size form a group, and only groups are indexed. Groups that
 shingle, pass the size filter and the positional filter are expanded and their members verified
 on whole sets.
 
-A shingle that many similar texts share would give all their pairs. Only components are asked
-for, so some rounds first compare one member of each list with the rest; lists that have become
-one component are done, and the last round compares what is still apart, each with each.
+Only components are asked for, so lists of many similar texts need not give all their pairs, see
+``linking_pairs``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+import re
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import re
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import WORD, ascii_lower, components, slices, staged
+from meterlake.llm.common import WORD, ascii_lower, components, linking_pairs, may_hold, partitions, slices, staged
 
 #: Counters for the order of shingles; a fixed size, so they can be sent to all tasks. More
 #: shingles share a counter in a larger corpus, which coarsens the order and loses no pair.
 COUNTERS, PARTS = 1 << 20, 64
-#: Rounds that compare one member of each list with the others.
-STAR_ROUNDS = 3
+#: Bytes of prefix shingles that one task gathers.
+INDEX_BYTES = 16 << 20
 #: Words whose hash a task remembers.
 MAX_WORDS = 500_000
 _WORD = re.compile(WORD)
@@ -139,28 +139,26 @@ def similar_components(
             for found in sets:
                 keep = len(found) + (num * -len(found)) // den + 1 if len(found) else 0
                 counts = order.value[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                prefixes.append(found[np.lexsort((found, counts))[:keep]].tobytes())
+                prefixes.append(found[np.lexsort((found, counts))[:keep]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_name(s) for s in sets], pa.int64()),
-                    pa.array(prefixes, pa.binary()),
+                    pa.array([_name(p, len(s)) for p, s in zip(prefixes, sets, strict=True)], pa.int64()),
+                    pa.array([p.tobytes() for p in prefixes], pa.binary()),
                 ],
-                names=["id", "n", "sid", "prefix"],
+                names=["id", "n", "sid", "gid", "prefix"],
             )
 
-    rows = staged(texts.mapInArrow(sort, "id long, n long, sid long, prefix binary"), "prefixes")
-    sets = staged(
-        rows.filter("n > 0")
-        .groupBy("sid", "n")
-        .agg(F.min("id").alias("low"), F.first("prefix").alias("prefix"))
-        .withColumn("gid", F.xxhash64("prefix", "n")),
+    rows = staged(texts.mapInArrow(sort, "id long, n long, sid long, gid long, prefix binary"), "prefixes")
+    members = staged(
+        rows.filter("n > 0").groupBy("sid", "n").agg(F.min("id").alias("low"), F.min("gid").alias("gid")),
         "sets",
     )
-    members = sets.select("sid", "low", "n", "gid")
-    index = _shared_lists(sets, members)
-    links = _link(index, _vectors(texts, members, index, size), num, den)
+    index = _shared_lists(rows, members)
+    vectors = _vectors(texts, members, index, size)
+    links = linking_pairs(index, _fits(num, den), lambda pairs: _verified(pairs, vectors, num, den))
     found = components(links)
     named = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "low", F.coalesce("component", "sid").alias("component")
@@ -195,42 +193,77 @@ def _same_ids(rows: DataFrame) -> DataFrame:
     )
 
 
-def _name(found: np.ndarray) -> int:
-    return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _name(found: np.ndarray, size: int = 0) -> int:
+    digest = blake2b(found.tobytes(), digest_size=8, salt=size.to_bytes(8, "little"))
+    return int.from_bytes(digest.digest(), "little", signed=True)
 
 
-def _shared_lists(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(token, sid, n, pos) of the prefix shingles that more than one set has."""
+def _shared_lists(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(token, sid, n, pos) of the prefix shingles that more than one group has, and of the
+    groups that have more than one member.
 
-    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The index is dealt by token, packed many entries to a row; a batch sends a group once.
+    """
+    entries = rows.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    parts = max(partitions(rows.sparkSession), -(-entries // INDEX_BYTES))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
+            gids, first = np.unique(batch.column("gid").to_numpy(), return_index=True)
+            prefixes = batch.column("prefix").take(pa.array(first)).to_pylist()
+            found = [np.frombuffer(p, np.uint64) for p in prefixes]
             if not found:
                 continue
             sizes = np.array([len(f) for f in found])
-            row = np.repeat(np.arange(len(found)), sizes)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            tokens = np.concatenate(found)
+            group = np.repeat(np.arange(len(found), dtype=np.uint32), sizes)
+            pos = (np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
+            n = batch.column("n").to_numpy()[first]
+            task = (mix(tokens) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            cuts = np.flatnonzero(np.diff(task[order])) + 1
+            pieces = [p for p in np.split(order, cuts) if len(p)]
+            blobs = []
+            for piece in pieces:
+                own, local = np.unique(group[piece], return_inverse=True)
+                blobs.append(pickle.dumps((tokens[piece], gids[own], n[own], local.astype(np.uint32), pos[piece]), 5))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(found)),
-                    batch.column("gid").take(pa.array(row)),
-                    batch.column("n").take(pa.array(row)),
-                    pa.array(pos.astype(np.int32)),
-                ],
-                names=["token", "gid", "n", "pos"],
+                [pa.array([task[p[0]] for p in pieces], pa.int32()), pa.array(blobs, pa.binary())],
+                names=["part", "blob"],
             )
 
-    groups = sets.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    index = groups.select("gid", "n", "prefix").mapInArrow(tokens, "token long, gid long, n long, pos int")
-    several = (
-        index.groupBy("token")
-        .agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
-        .filter("lo <> hi")
-        .select("token")
+    def several(group: pa.Table) -> pa.Table:
+        held = [pickle.loads(b) for b in group.column("blob").to_pylist()]
+        tokens = np.concatenate([h[0] for h in held])
+        gids, n = (np.concatenate([h[c][h[3]] for h in held]) for c in (1, 2))
+        pos = np.concatenate([h[4] for h in held])
+        order = np.lexsort((gids, tokens))
+        tokens, gids, n, pos = tokens[order], gids[order], n[order], pos[order]
+        new_token = np.append(True, tokens[1:] != tokens[:-1])
+        fresh = new_token | np.append(True, gids[1:] != gids[:-1])
+        tokens, gids, n, pos, new_token = tokens[fresh], gids[fresh], n[fresh], pos[fresh], new_token[fresh]
+        size = np.diff(np.append(np.flatnonzero(new_token), len(tokens)))
+        keep = np.repeat(size > 1, size)
+        return pa.table(
+            {
+                "token": tokens[keep].astype(np.int64), "gid": gids[keep], "n": n[keep],
+                "pos": pos[keep].astype(np.int32),
+            }
+        )
+
+    shared = staged(
+        rows.filter("n > 0")
+        .select("gid", "n", "prefix")
+        .mapInArrow(deal, "part int, blob binary")
+        .groupBy("part")
+        .applyInArrow(several, "token long, gid long, n long, pos int"),
+        "index",
     )
-    shared = staged(index.join(several, "token"), "index")
-    within = groups.filter("members > 1").select(
-        F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("pos")
+    within = (
+        members.groupBy("gid", "n")
+        .agg(F.count("*").alias("members"))
+        .filter("members > 1")
+        .select(F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("pos"))
     )
     return staged(
         shared.union(within).join(members.select("gid", "sid"), "gid").select("token", "sid", "n", "pos"),
@@ -240,7 +273,12 @@ def _shared_lists(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 def _vectors(texts: DataFrame, members: DataFrame, index: DataFrame, size: int) -> DataFrame:
     """Whole sets (sid, elements) of the members of shared lists, from one text of each."""
-    wanted = members.join(index.select("sid").distinct(), "sid", "left_semi").filter("low IS NOT NULL")
+    wanted = staged(
+        members.join(index.select("sid").distinct(), "sid", "left_semi")
+        .filter("low IS NOT NULL")
+        .select(F.col("low").alias("id"), "sid"),
+        "wanted",
+    )
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -256,7 +294,9 @@ def _vectors(texts: DataFrame, members: DataFrame, index: DataFrame, size: int)
             )
 
     return staged(
-        texts.join(wanted.select(F.col("low").alias("id"), "sid"), "id")
+        may_hold(texts, wanted, "id")
+        .filter("listed")
+        .join(wanted, "id")
         .select("sid", "text")
         .mapInArrow(whole, "sid long, elements binary")
         .dropDuplicates(["sid"]),
@@ -264,52 +304,15 @@ def _vectors(texts: DataFrame, members: DataFrame, index: DataFrame, size: int)
     )
 
 
-def _pass(n1: Column, pos1: Column, n2: Column, pos2: Column, num: int, den: int) -> Column:
+def _fits(num: int, den: int) -> Callable:
     """Size filter and positional filter of two sets at their first common prefix shingle."""
-    need = F.ceil((n1 + n2) * num / F.lit(num + den) - 1e-9)
-    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (
-        F.least(n1 - pos1, n2 - pos2) >= need
-    )
 
+    def fits(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+        need = F.ceil((one("n") + other("n")) * num / F.lit(num + den) - 1e-9)
+        size = F.least(one("n"), other("n")) * den >= F.greatest(one("n"), other("n")) * num
+        return size & (F.least(one("n") - one("pos"), other("n") - other("pos")) >= need)
 
-def _link(index: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
-    """Verified links (src, dst) that hold the components together."""
-    spark = index.sparkSession
-    nothing = spark.createDataFrame([], "src long, dst long")
-    links, tested = nothing, nothing
-    lists = index.withColumn("comp", F.col("sid"))
-    for round_ in range(STAR_ROUNDS + 1):
-        if lists.isEmpty():
-            break
-        left = lists.select("token", *[F.col(c).alias(f"{c}1") for c in ("sid", "n", "pos", "comp")])
-        if round_ < STAR_ROUNDS:
-            left = left.groupBy("token").agg(
-                F.min_by(F.struct("sid1", "n1", "pos1", "comp1"), F.xxhash64("sid1", F.lit(round_))).alias("m")
-            ).select("token", "m.*")
-            apart = F.col("comp1") != F.col("comp")
-        else:
-            apart = F.col("comp1") < F.col("comp")
-        fits = _pass(F.col("n1"), F.col("pos1"), F.col("n"), F.col("pos"), num, den)
-        pairs = (
-            lists.join(left, (lists.token == left.token) & apart & fits)
-            .select(F.least("sid1", "sid").alias("src"), F.greatest("sid1", "sid").alias("dst"))
-            .distinct()
-            .join(tested, ["src", "dst"], "left_anti")
-        )
-        pairs = staged(pairs, "pairs")
-        tested = tested.union(pairs)
-        linked = staged(_verified(pairs, vectors, num, den), "verified")
-        links = links.union(linked)
-        found = components(links).withColumnRenamed("node", "sid")
-        now = index.join(found, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-        open_ = (
-            now.groupBy("token")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .filter("lo <> hi")
-            .select("token")
-        )
-        lists = staged(now.join(open_, "token", "left_semi").select("token", "sid", "n", "pos", "comp"), "lists")
-    return links
+    return fits
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
