@@ -29,6 +29,8 @@ from meterlake.llm.jaccard_join import mix
 
 #: Bytes of text whose segments one task compares.
 TASK_BYTES = 24 << 20
+#: Bytes of text cut into segments at once; the arrays for it are about 100 times as large.
+CUT_BYTES = 1 << 20
 #: An odd factor (fixed value) and its inverse, for rolling names modulo 2^64.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -195,7 +197,7 @@ def repeated_spans(rows: DataFrame, kind: Kind) -> DataFrame:
     parts = max(partitions(spark), -(-size // TASK_BYTES))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", CUT_BYTES):
             ids = np.array([LAST_ID if i is None else i for i in batch.column("id").to_pylist()], np.int64)
             keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
             texts = batch.column("text").to_pylist()
