@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,12 @@ _ONES = sum(1 << (WIDTH * lane) for lane in range(64 // WIDTH))
 MOST = (1 << MARK) - 1
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` refers to it. A
+    column made by ``withColumn`` would be put in for each reference, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spread(h: Column, k: int) -> Column:
     """Bits k, k + 16, k + 32 and k + 48 of a hash, one per lane."""
     return F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))
@@ -45,8 +52,12 @@ def _vote(hashes: Column) -> Column:
 def simhash(hashes: Column) -> Column:
     """64-bit fingerprint of an array of hashes. Arrays longer than a lane can count vote in
     chunks, and the chunks' fingerprints vote again."""
-    chunks = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / MOST).cast("int"))
-    return _vote(F.transform(chunks, lambda c: _vote(F.slice(hashes, c * MOST + 1, F.lit(MOST)))))
+
+    def voted(all_: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / MOST).cast("int"))
+        return _vote(F.transform(chunks, lambda c: _vote(F.slice(all_, c * MOST + 1, F.lit(MOST)))))
+
+    return let(hashes, voted)
 
 
 def block(f: Column, offset: int, width: int) -> Column:
