@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import language_id, recompression, suffix_dedup, toxicity
+from meterlake.llm import decontaminate, language_id, recompression, suffix_dedup, toxicity
 from meterlake.llm.bpe import encode_documents
 from meterlake.llm.embedding_dedup import near_duplicates
 from meterlake.llm.jaccard_join import similar_components
@@ -35,6 +35,14 @@ def _embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.matches(docs, items)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start_word", "similarity"
+    )
+
+
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -91,6 +99,7 @@ def _url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": _embedding_dedup,
+    "op2_benchmark_decontamination": _decontamination,
     "op3_toxicity": _toxicity,
     "op4_byte_bpe": _bpe,
     "op5_url_filters": _url_filters,
