@@ -15,12 +15,14 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ from meterlake.llm.common import WORD, ascii_lower, components, linking_pairs, m
 COUNTERS, PARTS = 1 << 20, 64
 #: Bytes of prefix shingles that one task gathers.
 INDEX_BYTES = 16 << 20
-#: Words whose hash a task remembers.
-MAX_WORDS = 500_000
+#: Words whose hash a task remembers, and whole sets it keeps while judging pairs.
+MAX_WORDS, RECENT = 500_000, 256
 _WORD = re.compile(WORD)
 
 
@@ -157,8 +159,9 @@ def similar_components(
         "sets",
     )
     index = _shared_lists(rows, members)
-    vectors = _vectors(texts, members, index, size)
-    links = linking_pairs(index, _fits(num, den), lambda pairs: _verified(pairs, vectors, num, den))
+    links = linking_pairs(
+        index, _fits(num, den), lambda pairs: _verified(pairs, texts, members, size, num, den)
+    )
     found = components(links)
     named = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "low", F.coalesce("component", "sid").alias("component")
@@ -271,39 +274,6 @@ def _shared_lists(rows: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def _vectors(texts: DataFrame, members: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """Whole sets (sid, elements) of the members of shared lists, from one text of each."""
-    wanted = staged(
-        members.join(index.select("sid").distinct(), "sid", "left_semi")
-        .filter("low IS NOT NULL")
-        .select(F.col("low").alias("id"), "sid"),
-        "wanted",
-    )
-
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text"):
-            sets = _sets(batch, size, hashes)
-            same = [i for i, s in enumerate(sets) if _name(s) == batch.column("sid")[i].as_py()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("sid").take(pa.array(same, pa.int64())),
-                    pa.array([sets[i].tobytes() for i in same], pa.binary()),
-                ],
-                names=["sid", "elements"],
-            )
-
-    return staged(
-        may_hold(texts, wanted, "id")
-        .filter("listed")
-        .join(wanted, "id")
-        .select("sid", "text")
-        .mapInArrow(whole, "sid long, elements binary")
-        .dropDuplicates(["sid"]),
-        "elements",
-    )
-
-
 def _fits(num: int, den: int) -> Callable:
     """Size filter and positional filter of two sets at their first common prefix shingle."""
 
@@ -315,17 +285,51 @@ def _fits(num: int, den: int) -> Callable:
     return fits
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs that link, judged on the whole sets, made again from one text of each.
+
+    Texts travel compressed, which takes a third of the room of the sets; texts of no pair are
+    left where they are.
+    """
+    sids = pairs.select(F.col("src").alias("sid")).union(pairs.select("dst")).distinct()
+    wanted = staged(
+        members.join(sids, "sid", "left_semi").filter("low IS NOT NULL").select(F.col("low").alias("id"), "sid"),
+        "wanted",
+    )
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches, "text"):
+            texts = [squeeze(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], names=["id", "packed"])
+
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, expand = WordHashes(), zstandard.ZstdDecompressor().decompress
+
+        @lru_cache(RECENT)
+        def whole(packed: bytes) -> np.ndarray:
+            return shingles(expand(packed).decode(), size, hashes)
+
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for src, dst, a, b in zip(*(batch.column(c).to_pylist() for c in ("src", "dst", "a", "b")), strict=True):
+                x, y = whole(a), whole(b)
                 at = np.searchsorted(x, y)
                 both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(den * both >= num * (len(x) + len(y) - both))
+                similar = den * both >= num * (len(x) + len(y) - both)
+                # Rows that share an id may bring a text of another set.
+                keep.append(similar and _name(x) == src and _name(y) == dst)
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    a = vectors.select(F.col("sid").alias("src"), F.col("elements").alias("a"))
-    b = vectors.select(F.col("sid").alias("dst"), F.col("elements").alias("b"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(judge, "src long, dst long")
+    found = staged(
+        may_hold(texts.filter("text IS NOT NULL"), wanted, "id")
+        .filter("listed")
+        .select("id", "text")
+        .mapInArrow(pack, "id long, packed binary")
+        .join(wanted, "id")
+        .select("sid", "packed"),
+        "texts",
+    )
+    a = found.select(F.col("sid").alias("src"), F.col("packed").alias("a"))
+    b = found.select(F.col("sid").alias("dst"), F.col("packed").alias("b"))
+    return pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").mapInArrow(judge, "src long, dst long")
