@@ -15,19 +15,22 @@ from pyspark.sql import functions as F
 _PICO_PER_MICRO = 1_000_000
 
 
-def _pico(amount: Column) -> Column:
-    return F.rint(amount * F.lit(1e12)).cast("bigint")
+def _whole(amount: Column) -> Column:
+    """Whole micro-dollars as DOUBLE: fits a BIGINT up to nine million million USD."""
+    pico = F.rint(amount * F.lit(1e12))
+    units = pico / F.lit(float(_PICO_PER_MICRO))
+    return F.when(units < 0, F.ceil(units)).otherwise(F.floor(units)).cast("double")
 
 
 def micro_part(amount: Column) -> Column:
     """Whole micro-dollars of an amount (truncated towards zero)."""
-    pico = _pico(amount)
-    return F.call_function("div", pico, F.lit(_PICO_PER_MICRO))
+    return _whole(amount).cast("bigint")
 
 
 def pico_part(amount: Column) -> Column:
     """Pico-dollars left after :func:`micro_part`."""
-    return _pico(amount) % F.lit(_PICO_PER_MICRO)
+    pico = F.rint(amount * F.lit(1e12))
+    return (pico - _whole(amount) * F.lit(float(_PICO_PER_MICRO))).cast("bigint")
 
 
 def total(micro: Column, pico: Column) -> Column:

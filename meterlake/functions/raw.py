@@ -45,13 +45,20 @@ def filled(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+#: No request has more tokens than this: a larger count is no count. Sums of counts up to it,
+#: and their cost, stay far inside a BIGINT.
+MAX_COUNT = 10**12
+
+
 def count(number: Column) -> Column:
-    """A VARIANT as a whole number; missing, null and empty count as 0."""
-    return F.coalesce(F.try_variant_get(number, "$", "bigint"), F.lit(0).cast("bigint"))
+    """A VARIANT as a whole number; missing, null, empty and absurd ones count as 0."""
+    whole = F.try_variant_get(number, "$", "bigint")
+    usable = whole.between(F.lit(-MAX_COUNT), F.lit(MAX_COUNT))
+    return F.when(usable, whole).otherwise(F.lit(0).cast("bigint"))
 
 
 def any_bad_count(*numbers: Column) -> Column:
-    """True where one of the VARIANTs holds something that cannot be read as a number.
+    """True where one of the VARIANTs holds something that is no count of MAX_COUNT or less.
 
     A null or empty value is no number either but counts as 0, so the few lines with an
     unread value get a closer look.
@@ -59,13 +66,16 @@ def any_bad_count(*numbers: Column) -> Column:
 
     def bad(number: Column) -> Column:
         text = F.try_variant_get(number, "$", "string")
-        unread = F.try_variant_get(number, "$", "bigint").isNull()
+        whole = F.try_variant_get(number, "$", "bigint")
+        unread = whole.isNull() | ~whole.between(F.lit(-MAX_COUNT), F.lit(MAX_COUNT))
         return F.coalesce(unread & text.isNotNull() & ~text.isin(*_EMPTY), F.lit(False))
 
     unread = F.lit(False)
     for number in numbers:
+        whole = F.try_variant_get(number, "$", "bigint")
         unread = unread | (
-            number.isNotNull() & F.try_variant_get(number, "$", "bigint").isNull()
+            number.isNotNull()
+            & (whole.isNull() | ~whole.between(F.lit(-MAX_COUNT), F.lit(MAX_COUNT)))
         )
     return unread & F.exists(F.array(*numbers), bad)
 
@@ -99,6 +109,8 @@ _TIME = r"\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?"
 _ZONE = r"(Z|z|[+-]\d{2}(:?\d{2})?)?"
 _EXTENDED = rf"^{_DAY}$|^\d{{4}}-\d{{2}}-\d{{2}}[T ]{_TIME}{_ZONE}$"
 _BASIC = rf"^\d{{8}}([T ]\d{{2}}(\d{{2}}(\d{{2}}([.,]\d{{1,9}})?)?)?{_ZONE})?$"
+_WEEK = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?($|[T ].*$)"
+_END_OF_DAY = r"^(\d{4}-\d{2}-\d{2})[T ]24:00((?::00(?:[.,]0+)?)?(?:[Zz]|[+-].*)?)$"
 #: Zone after hours or minutes, which the default parser does not take.
 _SHORT_FORMAT = "yyyy-MM-dd'T'HH[:mm][XXX][X]"
 _BASIC_FORMAT = "yyyyMMdd['T'HH[mm[ss[.SSSSSSSSS]]]][XXX][X]"
@@ -107,9 +119,37 @@ _BASIC_FORMAT = "yyyyMMdd['T'HH[mm[ss[.SSSSSSSSS]]]][XXX][X]"
 def iso_timestamp(value: Column) -> Column:
     """Instant of an ISO-8601 text, NULL if it is none; without a zone it is UTC.
 
-    Extended (``2026-06-18T12:00:00.5Z``) and basic (``20260618T120000Z``) forms, date
-    only, hour only, and offsets with or without a colon.
+    Extended (``2026-06-18T12:00:00.5Z``) and basic (``20260618T120000Z``) forms and their
+    mixture, week dates, date only, hour only, 24:00, and offsets with or without a colon.
     """
+    given = _plain_time(_week_as_day(value))
+    midnight = F.regexp_replace(given, _END_OF_DAY, "$1T00:00$2")
+    instant = _iso_instant(midnight)
+    # 24:00 is the first instant of the next day.
+    return F.when(given.rlike(_END_OF_DAY), instant + F.expr("INTERVAL 1 DAY")).otherwise(instant)
+
+
+def _plain_time(value: Column) -> Column:
+    """An extended date with a basic time gets the colons of an extended one."""
+    return F.regexp_replace(
+        F.regexp_replace(value, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(\d{2})", "$1:$2:$3"),
+        r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(?=[Zz+-]|$)",
+        "$1:$2",
+    )
+
+
+def _week_as_day(value: Column) -> Column:
+    """A week date (``2026-W25-4``, ``2026W254``, day 1 if left out) as a calendar date."""
+    year, week, day, rest = (
+        F.regexp_extract(value, _WEEK, n) for n in (1, 2, 3, 4)
+    )
+    first = F.trunc(F.to_date(F.concat(year, F.lit("-01-04"))), "week")
+    number = F.coalesce(F.nullif(day, F.lit("")).cast("int"), F.lit(1))
+    shown = F.date_add(first, (week.cast("int") - 1) * 7 + number - 1)
+    return F.when(value.rlike(_WEEK), F.concat(shown.cast("string"), rest)).otherwise(value)
+
+
+def _iso_instant(value: Column) -> Column:
     marks = F.translate(value, ", z", ".TZ")
     colon_offset = F.regexp_replace(marks, r"([+-]\d{2})(\d{2})$", "$1:$2")
     extended = F.when(value.endswith("Z"), marks).otherwise(colon_offset)

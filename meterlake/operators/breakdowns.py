@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from meterlake.functions import money
 from meterlake.functions.tokens import cache_hit_ratio, total_tokens
 
-#: Top lists up to this length are broadcast to look up their texts.
-MAX_BROADCAST_WINNERS = 100_000
-
 #: Measures of a breakdown and the columns they sum.
 CLASSES = {
     "input": "input_tokens",
@@ -95,9 +92,8 @@ def top_sessions(events: DataFrame, limit: int = 25) -> DataFrame:
 
     texts = events.select("session_id", "ts", "event_id", "provider", "model", "project")
     keys = ranked.columns
-    winners = F.broadcast(ranked) if limit <= MAX_BROADCAST_WINNERS else ranked
     return (
-        texts.join(winners, "session_id")
+        texts.join(ranked, "session_id")
         .groupBy(*keys)
         .agg(*[first_given(name) for name in ("provider", "model", "project")])
         .select("session_id", "provider", "model", "project", *keys[1:])

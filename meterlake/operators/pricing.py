@@ -34,6 +34,15 @@ def pricing_key() -> Column:
     ).otherwise(F.col("provider"))
 
 
+def _one_each(rates: DataFrame) -> DataFrame:
+    """One row per provider and prefix: of several the one with the largest rates, compared
+    in the order of the fields, whatever the way the facts meet them."""
+    best = F.max(_rate_struct()).alias("best")
+    return rates.groupBy("provider", "model_prefix").agg(best).select(
+        "provider", "model_prefix", "best.*"
+    )
+
+
 def _rate_struct() -> Column:
     return F.struct(*[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in _RATE_FIELDS])
 
@@ -150,11 +159,12 @@ def rate_lookup(
     The longest matching model prefix wins (an exact name is the longest possible), else
     the provider's default, else zeros. How the facts meet the rates depends on the size of
     the rate table, which is looked at here, ``max_broadcast`` rows at most; up to that size
-    the facts are read once and not shuffled.
+    the facts are read once and not shuffled. The result does not depend on it.
     """
     keyed = events.withColumns(
         {_KEY: pricing_key(), _MODEL: F.nullif(F.col("model"), F.lit(""))}
     )
+    rates = _one_each(rates)
     listed = rates.limit(max_broadcast + 1).collect()
     if len(listed) <= max_cases:
         found = _match_with_cases(keyed, listed)

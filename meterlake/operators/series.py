@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterlake.functions import money
-
 METRICS = ("cost", "tokens")
 #: Number of heat classes and the factor between their thresholds (fixed values).
 CLASS_COUNT = 7
 CLASS_FACTOR = 3
+#: Sums over days are few, so they can be decimal: exact, and with room for tokens as well.
+EXACT = "decimal(38,12)"
 
 
 def select_metric(daily: DataFrame, metric: str = "cost") -> DataFrame:
@@ -34,10 +34,7 @@ def moving_avg_7(values: DataFrame, calendar_days: int | None = None) -> DataFra
     if calendar_days is not None:
         values = calendar_grid(values, calendar_days, ("value",)).select("series", "day", "value")
     week = Window.partitionBy("series").orderBy("day").rowsBetween(-6, 0)
-    total = money.total(
-        F.sum(money.micro_part(F.col("value"))).over(week),
-        F.sum(money.pico_part(F.col("value"))).over(week),
-    )
+    total = F.sum(F.col("value").cast(EXACT)).over(week).cast("double")
     return values.withColumn("moving_avg", total / F.count("value").over(week))
 
 
@@ -61,7 +58,8 @@ def color_bucket(values: DataFrame) -> DataFrame:
 def panel_totals(daily: DataFrame) -> DataFrame:
     """Cost and tokens of each series over its range."""
     return daily.groupBy("series").agg(
-        money.exact_sum(F.col("cost")).alias("cost"), F.sum("tokens").alias("tokens")
+        F.coalesce(F.sum(F.col("cost").cast(EXACT)).cast("double"), F.lit(0.0)).alias("cost"),
+        F.sum("tokens").alias("tokens"),
     )
 
 

@@ -51,12 +51,15 @@ def rows_per_file(rows: DataFrame, sources: Iterable[Source]) -> DataFrame:
     return rows.groupBy(source.alias("source"), "source_file").agg(F.count("*").alias("rows"))
 
 
-def ingest_summary(listing: DataFrame, new_rows: DataFrame) -> DataFrame:
+def ingest_summary(
+    listing: DataFrame, new_rows: DataFrame, sources: Iterable[str] = ()
+) -> DataFrame:
     """Per source: files scanned, files that gave new rows, events inserted.
 
-    ``new_rows`` is the output of :func:`rows_per_file`.
+    ``new_rows`` is the output of :func:`rows_per_file`. Sources named here have a row even
+    without files.
     """
-    return (
+    counted = (
         listing.join(new_rows, ["source", "source_file"], "left")
         .groupBy("source")
         .agg(
@@ -65,6 +68,11 @@ def ingest_summary(listing: DataFrame, new_rows: DataFrame) -> DataFrame:
             F.coalesce(F.sum("rows"), F.lit(0)).alias("events_inserted"),
         )
     )
+    names = [(name,) for name in sources]
+    if not names:
+        return counted
+    every = listing.sparkSession.createDataFrame(names, "source string")
+    return every.join(counted, "source", "left").na.fill(0)
 
 
 def stage(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
@@ -111,8 +119,11 @@ def ingest(
             readable = readable_files(spark, root, source.glob, changed)
             changed = stage(spark, readable, f"{folder}/readable-{source.name}")
             records = records_of(changed)
+        # What has gone or changed while it was read stays unread, for the next pass.
+        there = discover_files(spark, source.name, root, source.glob)
+        changed = changed.join(there, ["source_file", "size", "mtime"], "left_semi")
+        changes.append(stage(spark, changed, f"{folder}/read-{source.name}"))
         listings.append(listing)
-        changes.append(changed)
         parsed.append(source.events(records))
         rejects.append(
             records.filter(F.col("reason").isNotNull()).select(*schema.REJECT.fieldNames())
@@ -139,5 +150,6 @@ def ingest(
         ),
         version,
     )
-    summary = ingest_summary(_union(listings), counts)
+    read = [s.name for s in sources.values() if s.name in roots]
+    summary = ingest_summary(_union(listings), counts, read)
     return IngestResult(ingest_pass, summary, _union(rejects), pricing)

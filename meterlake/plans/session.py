@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,13 +28,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder every executor can reach, below ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of this machine.
-    """
+    """A new folder every executor can reach, below ``spark.checkpoint.dir``; where that is not
+    set, below the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        shared = tempfile.mkdtemp(prefix="meterlake-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from meterlake import schema
 from meterlake.sources.local import local_table
 
-#: A rate file is a small hand-kept document; anything larger belongs in a table.
-MAX_RATE_FILE_BYTES = 8 * 1024 * 1024
 
 _FIELDS = ("input", "output", "cache_write_5m", "cache_write_1h", "cache_read")
 
@@ -68,17 +67,25 @@ def rates_from_dict(spark: SparkSession, table: dict) -> DataFrame:
 def load_rates(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """A rate file (``.yaml``, ``.json`` nested as above, or a ``.csv`` table) and its hash."""
     file = spark.read.format("binaryFile").load(path)
-    if file.agg(F.sum("length")).first()[0] > MAX_RATE_FILE_BYTES:
-        raise ValueError(f"rate file {path} is larger than {MAX_RATE_FILE_BYTES} bytes")
-    found = file.select(F.sha2("content", 256).alias("hash"), "content").first()
-    body = bytes(found["content"]).decode("utf-8")
+    name = F.element_at(F.split("path", "/"), -1)
+    parts = file.select(name.alias("name"), F.sha2("content", 256).alias("hash"))
+    hashes = [(r["name"], r["hash"]) for r in parts.orderBy("name").collect()]
+    if not hashes:
+        raise ValueError(f"no rate file at {path}")
+    # One file's own hash; of a folder the hash over the names and hashes of all its parts.
+    digest = hashes[0][1]
+    if len(hashes) > 1:
+        digest = hashlib.sha256(repr(hashes).encode()).hexdigest()
     if path.endswith(".csv"):
         rates = spark.read.option("header", "true").schema(schema.RATES).csv(path)
-        return rates.na.fill(0.0, list(_FIELDS)), found["hash"]
+        return rates.na.fill(0.0, list(_FIELDS)), digest
+    if len(hashes) > 1:
+        raise ValueError(f"{path} is a folder; only .csv tables may have parts")
+    body = bytes(file.select("content").first()["content"]).decode("utf-8")
     if path.endswith(".json"):
-        return rates_from_dict(spark, json.loads(body) or {}), found["hash"]
+        return rates_from_dict(spark, json.loads(body) or {}), digest
     try:
         import yaml
     except ImportError as exc:
         raise RuntimeError("reading a YAML rate file needs PyYAML; use .json or .csv") from exc
-    return rates_from_dict(spark, yaml.safe_load(body) or {}), found["hash"]
+    return rates_from_dict(spark, yaml.safe_load(body) or {}), digest

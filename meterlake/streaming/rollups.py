@@ -78,7 +78,7 @@ def stream_burn(
         steps.groupBy(F.window(F.window_time("step"), window, slide).alias("span"))
         .agg(*[F.sum(name).alias(name) for name in ("micro", "pico", "tokens")])
     )
-    utilisation = F.col("tokens") / F.lit(limit)
+    utilisation = F.col("tokens") / F.lit(limit or None).cast("bigint")
     fill, hot = gauge(utilisation)
     return totals.select(
         F.col("span.start").alias("start"),

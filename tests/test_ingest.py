@@ -51,13 +51,13 @@ def test_passes_over_growing_logs(setup):
 
     assert setup.run() == {"claude": (2, 2, 3), "codex": (1, 1, 2)}
     assert setup.ids() == [
-        "claude:A", "claude:B", "claude:C", "codex:sess-1:1", "codex:sess-1:2",
+        "claude:A", "claude:B", "claude:C", "codex:night-run:1", "codex:night-run:2",
     ]
     rows = by_key(setup.warehouse.events().collect(), "event_id")
     # deep/er/t.jsonl comes before s.jsonl, so its copy of A is the one kept.
     assert rows["claude:A"].source_file.endswith("project one/deep/er/t.jsonl")
-    assert rows["claude:B"].cost_usd == 0.034
-    assert rows["codex:sess-1:1"].cost_usd == (800 * 1.75 + 300 * 14 + 200 * 0.175) / 1e6
+    assert rows["claude:B"].cost_usd == 0.04425
+    assert rows["codex:night-run:1"].cost_usd == (800 * 1.75 + 300 * 14 + 200 * 0.175) / 1e6
     assert [(r.reason, r.value) for r in setup.last.rejects.collect()] == [("not_json", "{torn")]
     assert by_key(summary_kpis(setup.warehouse.events(), "UTC").collect(), "window")["all_time"].events == 5
 
@@ -68,8 +68,8 @@ def test_passes_over_growing_logs(setup):
     write_lines(rollout, [tokens(100), model("gpt-4o"), tokens(100)], "a")
     assert setup.run() == {"claude": (2, 1, 1), "codex": (1, 1, 2)}
     rows = by_key(setup.warehouse.events().collect(), "event_id")
-    assert rows["codex:sess-1:3"].model == "gpt-5.3-codex"
-    assert rows["codex:sess-1:4"].model == "gpt-4o"
+    assert rows["codex:night-run:3"].model == "gpt-5.3-codex"
+    assert rows["codex:night-run:4"].model == "gpt-4o"
     state = by_key(setup.warehouse.ingest_state().collect(), "source_file")
     assert state[str(file)].rows == 2
     assert state[str(file)].last_size == state[str(file)].last_offset == file.stat().st_size
@@ -77,12 +77,12 @@ def test_passes_over_growing_logs(setup):
 
 
 def test_missing_roots_and_unterminated_lines(setup):
-    assert setup.run() == {}
+    assert setup.run() == {"claude": (0, 0, 0), "codex": (0, 0, 0)}
     file = write_lines(setup.claude / "s.jsonl", [turn("A"), json.dumps(turn("B"))[:-9]], end="")
-    assert setup.run() == {"claude": (1, 1, 1)}
+    assert setup.run() == {"claude": (1, 1, 1), "codex": (0, 0, 0)}
     with file.open("a") as handle:
         handle.write(json.dumps(turn("B"))[-9:] + "\n")
-    assert setup.run() == {"claude": (1, 1, 1)}
+    assert setup.run() == {"claude": (1, 1, 1), "codex": (0, 0, 0)}
     with pytest.raises(ValueError, match="no known source"):
         ingest(setup.spark, setup.warehouse, {"x": "/"}, setup.rates)
 
@@ -120,7 +120,7 @@ def test_a_pass_repeated_after_a_crash_adds_nothing(setup, monkeypatch):
         with pytest.raises(RuntimeError, match="lost"):
             setup.run()
     assert setup.ids() == ["claude:A", "claude:B"]
-    assert setup.run() == {"claude": (1, 0, 0)}
+    assert setup.run()["claude"] == (1, 0, 0)
     assert setup.ids() == ["claude:A", "claude:B"]
 
 
@@ -132,12 +132,12 @@ def test_an_unreadable_file_is_left_for_the_next_pass(setup):
     write_lines(setup.claude / "bad.jsonl", [turn("C")])
     checksum = setup.claude / ".bad.jsonl.crc"
     checksum.write_bytes(b"crc\0\0\0\x02\0" + b"\1\2\3\4")
-    assert setup.run() == {"claude": (3, 2, 2)}
+    assert setup.run()["claude"] == (3, 2, 2)
     assert setup.ids() == ["claude:A", "claude:B"]
     assert setup.warehouse.ingest_state().count() == 2
     checksum.write_bytes(b"")
     checksum.unlink()
-    assert setup.run() == {"claude": (3, 1, 1)}
+    assert setup.run()["claude"] == (3, 1, 1)
     assert setup.ids() == ["claude:A", "claude:B", "claude:C"]
 
 
@@ -164,7 +164,7 @@ def test_reprice_when_the_rates_change(setup, monkeypatch):
             setup.run()
     assert cost() == [1.0] and setup.warehouse.get(PRICING_HASH) == "rates-1"
 
-    assert setup.run() == {"claude": (1, 0, 0)}
+    assert setup.run()["claude"] == (1, 0, 0)
     assert cost() == [2.5]
     assert (setup.last.pricing.changed, setup.last.pricing.repriced) == (True, 1)
     assert setup.last.pricing.previous_pricing_hash == "rates-1"
@@ -188,3 +188,19 @@ def test_metadata(setup):
     warehouse.put({"a": "3"})
     assert (warehouse.get("a"), warehouse.get("b")) == ("3", "2")
     assert warehouse.metadata().count() == 2
+
+
+def test_odd_paths_and_vanished_files(setup):
+    odd = setup.claude / "app[id]" / "{x},*"
+    write_lines(odd / "b.jsonl", [turn("B")])
+    write_lines(setup.claude / "a.jsonl", [turn("A")])
+    assert setup.run()["claude"] == (2, 2, 2)
+    assert setup.ids() == ["claude:A", "claude:B"]
+    assert setup.run()["claude"] == (2, 0, 0)
+
+
+def test_absurd_counts_are_rejects(setup):
+    usage = {**USAGE, "input_tokens": 2**63 - 1, "output_tokens": 1}
+    write_lines(setup.claude / "s.jsonl", [turn("A", usage=usage), turn("B")])
+    assert setup.run()["claude"] == (1, 1, 1)
+    assert [r.reason for r in setup.last.rejects.collect()] == ["bad_number"]

@@ -111,3 +111,14 @@ def test_rate_files(spark, tmp_path):
 def test_prices_survive_nulls(spark):
     row = spark.createDataFrame([("claude", "claude-opus-4-8", None, M, None, None, None)], COLUMNS)
     assert price(row, default_rates(spark)).select(F.round("cost_usd", 6)).first()[0] == 25.0
+
+
+def test_duplicate_rates_have_one_answer(spark):
+    from meterlake import schema
+
+    zeros = (0.0, 0.0, 0.0, 0.0)
+    rows = [("openai", "gpt", float(n), *zeros) for n in (2, 1, 3)]
+    rates = spark.createDataFrame(rows, schema.RATES)
+    event = spark.createDataFrame([("openai", "gpt-9")], "provider string, model string")
+    for bounds in BOUNDS:
+        assert rate_lookup(event, rates, **bounds).first().rate.input == 3.0

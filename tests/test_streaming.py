@@ -114,7 +114,7 @@ def test_rollouts_continue_over_micro_batches(spark, tmp_path):
     stream.run(ROLLOUT_LOGS)
     stream.run(ROLLOUT_LOGS)
     rows = stream.rows()
-    named = "00000002-1111-2222-3333-444444444444"
+    named = "00000002-aaaa-bbbb-cccc-0123456789ab"
     assert {i: r.model for i, r in rows.items()} == {
         "codex:s-one:1": "gpt-4o",
         "codex:s-one:2": "gpt-4o",
