@@ -234,6 +234,9 @@ def repeated_spans(rows: DataFrame, kind: Kind) -> DataFrame:
             ids, keys = (np.concatenate([h[n][h[2]] for h in held]) for n in (0, 1))
             start, count, digest, left, right = (np.concatenate([h[n] for h in held]) for n in range(3, 8))
             order = np.lexsort((start, keys, ids))
+            # Repeated rows are one document, also if they came in several batches.
+            a, b = order[1:], order[:-1]
+            order = order[np.append(True, (ids[a] != ids[b]) | (keys[a] != keys[b]) | (start[a] != start[b]))]
             ids, keys, start, count, digest, left, right = (c[order] for c in (ids, keys, start, count, digest, left, right))
             start, count = start.astype(np.int64), count.astype(np.int64)
             again = _repeated(digest, ids, kind.within)
