@@ -1,10 +1,12 @@
-"""Every registered query against its SQL, on the smallest driver tables."""
+"""Every query of the usage engine against its SQL, on the smallest driver tables."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from meterlake.checks.oracle import oracle_sql
+from meterlake.checks.queries import queries
 from tests.compare import differences, oracle_connection
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,7 +22,9 @@ def oracle():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries()) == set(oracle_sql())
+    assert set(queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -29,7 +33,7 @@ def test_entry(spark):
     assert rows.columns[:3] == ["series", "day", "cost"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_sql(spark, oracle, name):
-    rows = entry.queries()[name](spark, SF_DIR)
-    assert differences(rows, oracle, entry.oracle_sql()[name]) == []
+    rows = queries()[name](spark, SF_DIR)
+    assert differences(rows, oracle, oracle_sql()[name]) == []
