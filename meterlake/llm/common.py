@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.plans.session import scratch_dir
@@ -142,7 +142,8 @@ def linking_pairs(
     says of two members' columns whether they can; ``verified`` keeps the true ones of some
     pairs (src, dst). A token of many similar members would give all their pairs, so some
     rounds first compare one member of each list with the rest. Lists that are one component
-    are done; the last round compares what is still apart, each with each.
+    are done; the last round compares what is still apart, each with each. Tokens count as
+    ranked by ``pos``, where the lists have it, else by themselves.
     """
     spark = lists.sparkSession
     extra = [c for c in lists.columns if c not in ("token", "sid")]
@@ -151,18 +152,26 @@ def linking_pairs(
     for round_ in range(STAR_ROUNDS + 1):
         if left_open.isEmpty():
             break
-        one = left_open.select("token", *[F.col(c).alias(f"{c}_1") for c in ("sid", "comp", *extra)])
         apart = F.col("comp_1") < F.col("comp")
+        if round_ == STAR_ROUNDS:
+            # Members with several tokens in common meet under the first of them only. Tokens
+            # of lists that are done cannot be common to members that are apart.
+            by_rank = Window.partitionBy("sid").orderBy("pos" if "pos" in extra else "token", "token")
+            before = F.collect_list("token").over(by_rank.rowsBetween(Window.unboundedPreceding, -1))
+            left_open = left_open.withColumn("before", before)
+            extra = [*extra, "before"]
+            apart &= ~F.arrays_overlap("before", "before_1")
+        one = left_open.select(*[F.col(c).alias(f"{c}_1") for c in ("token", "sid", "comp", *extra)])
         if round_ < STAR_ROUNDS:
-            member = F.struct(*[c for c in one.columns if c != "token"])
-            one = one.groupBy("token").agg(
+            member = F.struct(*[c for c in one.columns if c != "token_1"])
+            one = one.groupBy("token_1").agg(
                 F.min_by(member, F.xxhash64("sid_1", F.lit(round_))).alias("member")
-            ).select("token", "member.*")
+            ).select("token_1", "member.*")
             apart = F.col("comp_1") != F.col("comp")
         pairs = staged(
             left_open.join(
                 one,
-                (left_open.token == one.token) & apart & fits(lambda c: F.col(f"{c}_1"), lambda c: F.col(c)),
+                (F.col("token") == F.col("token_1")) & apart & fits(lambda c: F.col(f"{c}_1"), lambda c: F.col(c)),
             )
             .select(F.least("sid_1", "sid").alias("src"), F.greatest("sid_1", "sid").alias("dst"))
             .distinct()
@@ -171,6 +180,8 @@ def linking_pairs(
         )
         tested = tested.union(pairs)
         links = links.union(staged(verified(pairs), "verified"))
+        if round_ == STAR_ROUNDS:
+            break
         found = components(links).withColumnRenamed("node", "sid")
         now = lists.join(found, "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
         apart_still = (
