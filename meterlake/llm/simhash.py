@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: stays free for the comparison with the half, one so that sums stay positive.
 WIDTH, SUMS, MARK = 16, 16, 14
 _ONES = sum(1 << (WIDTH * lane) for lane in range(64 // WIDTH))
-#: Features whose counts a lane can hold.
-MOST = (1 << MARK) - 1
+_BYTES, _EVEN = 0x0101010101010101, 0x00FF00FF00FF00FF
+#: Features whose counts a lane can hold, and those a lane of 8 bits can.
+MOST, FEW = (1 << MARK) - 1, 127
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -22,9 +23,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def spread(h: Column, k: int) -> Column:
-    """Bits k, k + 16, k + 32 and k + 48 of a hash, one per lane."""
-    return F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))
+def _narrow(hashes: Column) -> Column:
+    """Counts over at most FEW hashes, in lanes 8 bits wide: half the sums for each hash."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(8)])
+
+    def add(sums: Column, h: Column) -> Column:
+        bits = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_BYTES)) for k in range(8)]
+        return F.struct(*[(sums[f"s{k}"] + bit).alias(f"s{k}") for k, bit in enumerate(bits)])
+
+    counted = F.aggregate(hashes, zero, add)
+    return let(counted, lambda c: F.struct(F.size(hashes).cast("long").alias("n"), c.alias("c")))
 
 
 def fingerprint(sums: Column) -> Column:
@@ -41,12 +49,16 @@ def fingerprint(sums: Column) -> Column:
 def _vote(hashes: Column) -> Column:
     names = [f"s{k}" for k in range(SUMS)]
     zero = F.struct(*[F.lit(0).cast("long").alias(s) for s in (*names, "n")])
+    starts = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / FEW).cast("int"))
+    parts = F.transform(starts, lambda c: let(F.slice(hashes, c * FEW + 1, F.lit(FEW)), _narrow))
 
-    def add(sums: Column, h: Column) -> Column:
-        counted = [(sums[s] + spread(h, k)).alias(s) for k, s in enumerate(names)]
-        return F.struct(*counted, (sums["n"] + F.lit(1).cast("long")).alias("n"))
+    def add(sums: Column, part: Column) -> Column:
+        wide = [part["c"][f"s{k}"].bitwiseAND(F.lit(_EVEN)) for k in range(8)]
+        wide += [F.shiftrightunsigned(part["c"][f"s{k}"], 8).bitwiseAND(F.lit(_EVEN)) for k in range(8)]
+        counted = [(sums[s] + w).alias(s) for s, w in zip(names, wide, strict=True)]
+        return F.struct(*counted, (sums["n"] + part["n"]).alias("n"))
 
-    return F.aggregate(hashes, zero, add, fingerprint)
+    return F.aggregate(parts, zero, add, fingerprint)
 
 
 def simhash(hashes: Column) -> Column:
@@ -55,7 +67,8 @@ def simhash(hashes: Column) -> Column:
 
     def voted(all_: Column) -> Column:
         chunks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / MOST).cast("int"))
-        return _vote(F.transform(chunks, lambda c: _vote(F.slice(all_, c * MOST + 1, F.lit(MOST)))))
+        voted_each = F.transform(chunks, lambda c: let(F.slice(all_, c * MOST + 1, F.lit(MOST)), _vote))
+        return F.when(F.size(all_) <= MOST, _vote(all_)).otherwise(let(voted_each, _vote))
 
     return let(hashes, voted)
 
