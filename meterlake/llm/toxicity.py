@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 from typing import NamedTuple
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +106,9 @@ def train(
     Labels are toxic or not; toxic documents are graded 1 or 2 by how many such
     features they hold (2: above the median). Rows with a null
     label or id are not used; of repeated labels of a document the worst counts. Documents with
-    the same min-hash, near copies mostly, count once, so that words of a much copied text do
-    not pass for typical. Without labels of both kinds every grade is 0.
+    the same label and the same features count once, so that words of a much copied text do
+    not pass for typical; all that differ are fitted on. Without labels of both kinds every
+    grade is 0.
     """
     spark = docs.sparkSession
     drawn = (
@@ -124,19 +125,19 @@ def train(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("toxic"),
-                    pa.array([min((crc32(f.encode()) for f in x), default=0) for x in found], pa.int64()),
+                    pa.array([sha256("\n".join(x).encode()).digest() for x in found], pa.binary()),
                     pa.array(found, pa.list_(pa.string())),
                 ],
-                names=["toxic", "sketch", "features"],
+                names=["toxic", "digest", "features"],
             )
 
     rows = staged(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(drawn), "id")
         .select("toxic", "text")
-        .mapInArrow(features, "toxic boolean, sketch long, features array<string>")
-        .groupBy("toxic", "sketch")
-        .agg(F.min("features").alias("features")),
+        .mapInArrow(features, "toxic boolean, digest binary, features array<string>")
+        .groupBy("toxic", "digest")
+        .agg(F.first("features").alias("features")),
         "toxicity-sample",
     )
     n, n_toxic = rows.agg(F.count("*"), F.count_if("toxic")).first()

@@ -1,3 +1,5 @@
+from zlib import crc32
+
 import numpy as np
 
 from meterlake.llm import toxicity
@@ -35,3 +37,17 @@ def test_held_out_documents(spark):
     none = toxicity.train(docs, labels.limit(0))
     assert {r.toxic for r in toxicity.score(docs, none).collect()} == {False}
     assert toxicity.score(docs.limit(0), none).collect() == []
+
+
+def test_all_different_texts_are_fitted_on(spark):
+    # The least hash of every text is that of one word they share; copies still count once.
+    shared = min(["common", "words", "of", "all", "texts"], key=lambda w: crc32(w.encode()))
+    names = [w for i in range(4000) if crc32((w := f"n{i}").encode()) > crc32(shared.encode())]
+    rows = [(i, f"{shared} {names[i]} " + ("foul" if i % 2 else "fair")) for i in range(60)]
+    rows += [(100 + i, rows[2][1] + " foul") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2 if i < 100 else 0) for i, _ in rows], "doc_id long, toxic int")
+    docs = documents(spark, rows + [(900, f"{shared} foul new"), (901, f"{shared} fair new")])
+    model = toxicity.train(docs, labels)
+    assert "foul" in model.weights and "fair" not in model.weights
+    toxic = {r.doc_id: r.toxic for r in toxicity.score(docs, model).collect()}
+    assert toxic[900] and not toxic[901]
