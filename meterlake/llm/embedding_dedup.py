@@ -1,8 +1,8 @@
 """Embedding near-dedup (operator 1): spherical k-means cells and blocked cosine products.
 
 Equal vectors are one class from the start. Centres are fitted on a bounded sample; every class
-lives in the cell of its nearest centre and also visits the cells whose centre is at most
-``margin`` farther in cosine. Within a cell, chunks of residents meet chunks of residents and
+lives in the cell of its nearest centre and also visits the cells whose centre is little
+farther, by a margin for each two centres that leaves no link out, see ``reach``. Within a cell, chunks of residents meet chunks of residents and
 visitors in matrix products; a task holds two chunks. A pair is counted in one cell only. What
 a task returns grows with its vectors, not with its pairs: a count of links and the smallest
 vector of its local group for each vector.
@@ -22,8 +22,10 @@ from meterlake.llm.common import components, staged
 
 #: Vectors the centres are fitted on, vectors aimed at per cell, most centres, rounds of k-means.
 SAMPLE, CELL, MAX_CELLS, ROUNDS = 20_000, 512, 4096, 10
-#: Cosine by which a centre may be farther than the nearest one to be visited as well.
-MARGIN = 0.15
+#: Added to the margins: more than what rounding takes from a cosine.
+EPSILON = 1e-7
+#: Vectors whose centres are worked out at once.
+BLOCK = 1024
 #: Vectors of the two chunks that a task compares.
 RESIDENTS, VISITORS = 1024, 4096
 
@@ -69,13 +71,25 @@ def nearest(vectors: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.nd
     return np.concatenate(parts) if parts else np.zeros(0, int)
 
 
+def reach(centres: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+    """Cosine by which each centre may be farther than ``home``'s to be visited: one row per home.
+
+    For unit vectors u, v of homes A, B the shortfalls (u.A - u.B) and (v.B - v.A) add up to
+    (u - v).(A - B), at most |u - v| |A - B|, and |u - v| is sqrt(2 - 2 cos). So with half of
+    that as margin at least one of two linked vectors visits the other's cell.
+    """
+    own = (centres * centres).sum(1)
+    squares = own[home][:, None] + own - 2 * (centres[home] @ centres.T)
+    widest = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+    return np.sqrt(np.maximum(squares, 0)) * widest + EPSILON
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.9,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample: int = SAMPLE,
-    margin: float = MARGIN,
     cell_size: int = CELL,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
@@ -88,9 +102,8 @@ def near_duplicates(
     a null component. Rows that share an id are one node; each counts as a vector. Other columns
     are not read. An empty table gives an empty result.
 
-    Pairs are searched in cells, see the module. ``margin`` sets the recall: 0.15 finds over
-    99.9 % of random pairs right at a threshold of 0.9, and closer pairs more surely; 2 compares
-    all. With ``max_cells`` in use, cells grow with the table, and the work with their square.
+    Pairs are searched in cells, see the module; no link is left out. With ``max_cells`` in use,
+    cells grow with the table, and the work with their square.
     """
     id_type = dict(vectors.dtypes)[id_col]
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
@@ -111,14 +124,12 @@ def near_duplicates(
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = batch.column("unit")
-            if not len(units):
-                continue
-            cosines = unpack(units.to_pylist(), width) @ shared.value.T
+        for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, len(b), BLOCK)):
+            cosines = unpack(batch.column("unit").to_pylist(), width) @ shared.value.T
             best = cosines.max(1, keepdims=True)
             home = cosines.argmax(1)
-            row, cell = np.nonzero(cosines >= best - margin)
+            homes, at = np.unique(home, return_inverse=True)
+            row, cell = np.nonzero(cosines >= best - reach(shared.value, homes, threshold)[at])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(cell, pa.int32()),
@@ -167,14 +178,15 @@ def near_duplicates(
         x, y = unpack(a.unit, width), unpack(b.unit, width)
         linked = x @ y.T >= threshold
         linked &= np.array([len(u) for u in a.unit])[:, None] == np.array([len(u) for u in b.unit])[None, :]
-        here, there = a.home.to_numpy(), b.home.to_numpy()
+        there = b.home.to_numpy()
         # A visitor's pair is also met in the visitor's own cell if the resident visits that;
         # the smaller of the two cells counts it.
         row, col = np.nonzero(linked & (there < cell)[None, :])
         if len(row):
-            cosines = x[row] @ shared.value.T
-            at = np.arange(len(row))
-            seen = cosines[at, there[col]] >= cosines[at, here[row]] - margin
+            met, at = np.unique(row, return_inverse=True)
+            cosines = x[met] @ shared.value.T
+            visits = cosines >= cosines[:, [cell]] - reach(shared.value, np.array([cell]), threshold)
+            seen = visits[at, there[col]]
             linked[row[seen], col[seen]] = False
         node_a, node_b = a.node.to_numpy(), b.node.to_numpy()
         same = key[1] == key[2]

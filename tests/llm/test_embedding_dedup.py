@@ -30,3 +30,22 @@ def test_against_brute_force(spark, monkeypatch):
     for i, _ in odd:
         assert (found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True)
     assert near_duplicates(table.limit(0)).collect() == []
+
+
+def test_links_between_tight_clusters(spark, monkeypatch):
+    # Two tight clusters around orthogonal centres, and two vectors between them at cosine 0.9.
+    def at(degrees, third=0.0):
+        return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees))), third]
+
+    ids = range(40)
+    rows = [(i, at(0.01 * i if i % 2 else 90 - 0.01 * i)) for i in ids] + [(100, at(32.1)), (101, at(57.9))]
+    rows += [(102, at(16, 0.01)), (103, at(74, 0.01))]
+    monkeypatch.setattr(module, "spherical_kmeans", lambda vectors, k: np.eye(3)[:2])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in near_duplicates(table, cell_size=30).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = [(a, b) for a in unit for b in unit if a != b and unit[a] @ unit[b] >= 0.9]
+    low = component_of(unit, links)
+    assert (100, 101) in links and set(low.values()) == {0}
+    for i in unit:
+        assert (found[i].n_links, found[i].component_id) == (sum(a == i for a, _ in links), low[i])
