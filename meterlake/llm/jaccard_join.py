@@ -130,7 +130,7 @@ def similar_components(
     id_type = dict(docs.dtypes)[id_col]
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), ascii_lower(F.col(text_col)).alias("text")
-    )
+    ).withColumn("key", F.xxhash64("id", "text"))
     order = spark.sparkContext.broadcast(shingle_counts(texts, size))
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,17 +145,20 @@ def similar_components(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_name(s) for s in sets], pa.int64()),
                     pa.array([_name(p, len(s)) for p, s in zip(prefixes, sets, strict=True)], pa.int64()),
                     pa.array([p.tobytes() for p in prefixes], pa.binary()),
                 ],
-                names=["id", "n", "sid", "gid", "prefix"],
+                names=["id", "key", "n", "sid", "gid", "prefix"],
             )
 
-    rows = staged(texts.mapInArrow(sort, "id long, n long, sid long, gid long, prefix binary"), "prefixes")
+    rows = staged(texts.mapInArrow(sort, "id long, key long, n long, sid long, gid long, prefix binary"), "prefixes")
     members = staged(
-        rows.filter("n > 0").groupBy("sid", "n").agg(F.min("id").alias("low"), F.min("gid").alias("gid")),
+        rows.filter("n > 0")
+        .groupBy("sid", "n")
+        .agg(F.min("id").alias("low"), F.min("key").alias("key"), F.min("gid").alias("gid")),
         "sets",
     )
     index = _shared_lists(rows, members)
@@ -289,11 +292,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, size: int,
     """The pairs that link, judged on the whole sets, made again from one text of each.
 
     Texts travel compressed, which takes a third of the room of the sets; texts of no pair are
-    left where they are.
+    left where they are. They are found by a hash of id and text, so that sets which only rows
+    without an id hold are judged too.
     """
     sids = pairs.select(F.col("src").alias("sid")).union(pairs.select("dst")).distinct()
     wanted = staged(
-        members.join(sids, "sid", "left_semi").filter("low IS NOT NULL").select(F.col("low").alias("id"), "sid"),
+        members.join(sids, "sid", "left_semi").select("key", "sid"),
         "wanted",
     )
 
@@ -301,7 +305,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, size: int,
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "text"):
             texts = [squeeze(t.encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], names=["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.binary())], names=["key", "packed"])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, expand = WordHashes(), zstandard.ZstdDecompressor().decompress
@@ -317,17 +321,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, size: int,
                 at = np.searchsorted(x, y)
                 both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 similar = den * both >= num * (len(x) + len(y) - both)
-                # Rows that share an id may bring a text of another set.
+                # Texts that share a hash may bring one of another set.
                 keep.append(similar and _name(x) == src and _name(y) == dst)
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     found = staged(
-        may_hold(texts.filter("text IS NOT NULL"), wanted, "id")
+        may_hold(texts.filter("text IS NOT NULL"), wanted, "key")
         .filter("listed")
-        .select("id", "text")
-        .mapInArrow(pack, "id long, packed binary")
-        .join(wanted, "id")
-        .select("sid", "packed"),
+        .select("key", "text")
+        .mapInArrow(pack, "key long, packed binary")
+        .join(wanted, "key")
+        .groupBy("sid")
+        .agg(F.first("packed").alias("packed")),
         "texts",
     )
     a = found.select(F.col("sid").alias("src"), F.col("packed").alias("a"))

@@ -41,3 +41,15 @@ def test_odd_rows(spark):
         ("3", 2, 3), ("3", 2, 3), ("5", 2, 3), ("7", 0, 7), ("9", 2, 3), ("None", 2, None),
     ]
     assert similar_components(documents(spark, []), 3, 90).collect() == []
+
+
+def test_sets_that_only_rows_without_an_id_hold(spark):
+    words = [f"w{i}" for i in range(60)]
+    # 1 and 2 are too far apart to link, the row without an id is near both.
+    bridge = ["x", "y", *words[2:]]
+    rows = [(1, " ".join(words)), (None, " ".join(bridge)), (2, " ".join([*bridge[:-2], "z", "u"]))]
+    rows += [(9, "an other text here"), (None, " ".join(bridge)), (None, "only this one here")]
+    found = similar_components(documents(spark, rows), 3, 90).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == [
+        ("1", 58, "1"), ("2", 58, "1"), ("9", 2, "9"), ("None", 2, "None"), ("None", 58, "1"), ("None", 58, "1"),
+    ]
