@@ -121,10 +121,83 @@ SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+_PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+grams AS (
+    SELECT lang, size, array_to_string(words[i + 1:i + size], ' ') AS phrase
+    FROM w, unnest([1, 2, 3, 4, 5]) AS s(size), unnest(range(0, greatest(len(words) - size + 1, 0))) AS t(i)
+), f AS (
+    SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS words
+    FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.size, c.f AS a, k, l.f AS l, r.f AS r, n,
+        (1000 * c.f::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+    FROM f c, unnest(range(1, c.size)) AS t(k), totals, f l, f r
+    WHERE c.size > 1 AND totals.lang = c.lang AND l.lang = c.lang AND r.lang = c.lang
+        AND l.phrase = array_to_string(c.words[1:k], ' ') AND r.phrase = array_to_string(c.words[k + 1:], ' ')
+), low AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts)
+    WHERE nth = 1
+), kept AS (
+    SELECT * FROM low WHERE NOT EXISTS (
+        SELECT 1 FROM f WHERE f.lang = low.lang AND f.size > low.size AND f.f >= low.a
+            AND contains(' ' || f.phrase || ' ', ' ' || low.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+    phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+_LEXICAL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms FROM documents
+), sizes AS (SELECT doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, sum(n) AS words FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY 1, 2),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+), w AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM tf, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs
+), scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf
+        + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+    FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), totals
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+    doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+_VECTORS = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+    FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op1_embedding_near_dedup": _EMBEDDINGS,
     "op5_url_filters": _URL,
     "op6_ngram_jaccard_join": _JACCARD,
     "op8_suffix_array_dedup": _SUFFIX,
     "op10_substring_dedup": _SUBSTRING,
+    "op11_phrase_mining": _PHRASES,
+    "op12_lexical_search": _LEXICAL,
+    "op13_vector_search": _VECTORS,
 }

@@ -12,8 +12,11 @@ from meterlake.llm import decontaminate, language_id, recompression, suffix_dedu
 from meterlake.llm.bpe import encode_documents
 from meterlake.llm.embedding_dedup import near_duplicates
 from meterlake.llm.jaccard_join import similar_components
+from meterlake.llm.lexical_search import rank_documents
 from meterlake.llm.line_dedup import remove_lines
+from meterlake.llm.phrase_mining import mine_phrases
 from meterlake.llm.url_filter import Rule, filter_urls
+from meterlake.llm.vector_search import top_products
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +100,18 @@ def _url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"), threshold=100, top=2000)
+
+
+def _lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def _vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": _embedding_dedup,
     "op2_benchmark_decontamination": _decontamination,
@@ -108,4 +123,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": _suffix_dedup,
     "op9_line_dedup": _line_dedup,
     "op10_substring_dedup": _substring_dedup,
+    "op11_phrase_mining": _phrase_mining,
+    "op12_lexical_search": _lexical_search,
+    "op13_vector_search": _vector_search,
 }
