@@ -34,6 +34,13 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], sized: str, size: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:

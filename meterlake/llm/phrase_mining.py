@@ -19,11 +19,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import staged
+from meterlake.llm.common import remove_folder, staged
 from meterlake.plans.session import scratch_dir
 
 SHARDS = 4
@@ -197,13 +197,23 @@ def _distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[first], np.diff(np.append(first, len(order)))
 
 
-def count_shard(blocks: DataFrame, table: np.ndarray, scan: int) -> DataFrame:
+def _sent(spark: SparkSession, table: np.ndarray) -> Broadcast:
+    """The table for all tasks, compressed: most of it is zeros."""
+    return spark.sparkContext.broadcast(pa.compress(table.tobytes(), codec="zstd", asbytes=True))
+
+
+def _received(shared: Broadcast, cell_bits: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(shared.value, 1 << cell_bits, codec="zstd", asbytes=True), np.uint8)
+
+
+def count_shard(blocks: DataFrame, shared: Broadcast, scan: int) -> DataFrame:
     """Counts (``COUNT_SCHEMA`` and the language) of the phrases active in this scan, by block."""
-    shared = blocks.sparkSession.sparkContext.broadcast(table)
+    bits = CELL_BITS
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _received(shared, bits)
         for row in (r for b in batches for i in range(len(b)) for r in b.slice(i, 1).to_pylist()):
-            walk = Walk(row["lang"], row["words"], row["codes"], shared.value)
+            walk = Walk(row["lang"], row["words"], row["codes"], table)
             for length, at, low, high, since, _ in walk.lengths():
                 counting = (at < row["starts"]) & (scan < since + SHARDS)
                 low, high, since = low[counting], high[counting], since[counting]
@@ -246,13 +256,21 @@ def _counts(spark: SparkSession, folder: str, threshold: int) -> DataFrame:
     table = np.zeros(1 << CELL_BITS, np.uint8)
     blocks = spark.read.schema(f"{BLOCK_SCHEMA}, shard int").parquet(folder)
     running = spark.createDataFrame([], f"lang string, {COUNT_SCHEMA}")
-    scan = last = 0
+    scan, last, former = 0, 0, None
     while scan < last + SHARDS:
         shard = blocks.filter(F.col("shard") == scan % SHARDS)
-        rows = running.unionByName(count_shard(shard, table, scan))
+        shared = _sent(spark, table)
+        rows = running.unionByName(count_shard(shard, shared, scan))
         # Those that have come full circle below the threshold are done with.
         rows = rows.groupBy("lang", "len", "start", "hi", "lo").agg(F.sum("n").alias("n"))
-        running = staged(rows.filter((F.col("n") >= threshold) | (F.col("start") + SHARDS > scan + 1)), "counts")
+        rows = rows.filter((F.col("n") >= threshold) | (F.col("start") + SHARDS > scan + 1))
+        path = scratch_dir(spark, "counts")
+        rows.write.option("compression", "zstd").parquet(path)
+        running = spark.read.schema(rows.schema).parquet(path)
+        shared.destroy()
+        if former:
+            remove_folder(spark, former)
+        former = path
         parts = running.filter((F.col("n") >= threshold) & (F.col("len") < LONGEST))
         found = _with_cells(table, parts, scan + 1)
         if (found != table).any():
@@ -264,12 +282,13 @@ def _counts(spark: SparkSession, folder: str, threshold: int) -> DataFrame:
 
 def _texts(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """(lang, len, hi, lo, phrase) of the phrases whose names are looked for, and a few others."""
-    table = _with_cells(np.zeros(1 << CELL_BITS, np.uint8), names, 1)
-    shared = blocks.sparkSession.sparkContext.broadcast(table)
+    shared = _sent(blocks.sparkSession, _with_cells(np.zeros(1 << CELL_BITS, np.uint8), names, 1))
+    bits = CELL_BITS
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _received(shared, bits)
         for row in (r for b in batches for i in range(len(b)) for r in b.slice(i, 1).to_pylist()):
-            walk = Walk(row["lang"], row["words"], row["codes"], shared.value)
+            walk = Walk(row["lang"], row["words"], row["codes"], table)
             for length, at, low, high, _, seen in walk.lengths():
                 wanted = seen > 0
                 at, low, high = at[wanted], low[wanted], high[wanted]
