@@ -21,7 +21,8 @@ from meterlake.plans.ingest import ingest, ingest_summary, rows_per_file
 from meterlake.plans.reprice import reprice_if_needed
 from meterlake.plans.session import configure, scratch_dir
 from meterlake.plans.store import Warehouse, metadata_upsert, upsert_ingest_state
-from meterlake.sources.files import changed_files, discover_files, quarantine, read_log_lines
+from meterlake.sources.files import changed_files, quarantine, read_log_lines
+from meterlake.sources.listing import discover_files
 from meterlake.sources.rates import default_rates
 from meterlake.sources.registry import ASSISTANT_LOGS, SOURCES
 from meterlake.sources.tail import tail_source

@@ -93,6 +93,16 @@ def may_hold(value: Column, *words: str) -> Column:
     return test | value.contains("\\u") | ~F.rtrim(value).endswith("}")
 
 
+def is_mark(rows: DataFrame) -> Column:
+    """Whether a row is no line but marks a byte range that was read."""
+    return F.col("mark").isNotNull() if "mark" in rows.columns else F.lit(False)
+
+
+def range_columns(rows: DataFrame) -> list[str]:
+    """Columns of lines read by byte range that parsed records keep."""
+    return [c for c in ("is_open", "mark") if c in rows.columns]
+
+
 def keep(rows: DataFrame, condition: Column) -> DataFrame:
     """Filter on parsed fields, after parsing.
 

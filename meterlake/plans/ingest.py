@@ -7,23 +7,19 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import schema
 from meterlake.operators.merge import canonical_union, dedup_first, new_events
 from meterlake.operators.pricing import price
+from meterlake.operators.rollout import carry_state
 from meterlake.plans.reprice import RepriceResult, reprice_if_needed
 from meterlake.plans.session import scratch_dir
 from meterlake.plans.store import Warehouse, new_pass_id
-from meterlake.sources.files import (
-    changed_files,
-    discover_files,
-    read_changed_lines,
-    readable_files,
-)
+from meterlake.sources.files import changed_files, not_blank
+from meterlake.sources.listing import discover_files
+from meterlake.sources.ranges import read_ranges
 from meterlake.sources.registry import SOURCES, Source
 
 log = logging.getLogger(__name__)
@@ -81,6 +77,78 @@ def stage(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def resume_points(listing: DataFrame, state: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Changed files with the byte to read on from (``start``), else 0.
+
+    A file that became shorter is read again from its first byte. With ``carry`` (files whose
+    records depend on earlier ones) so is a file that changed without growing, and one whose
+    carried state is not that of the stored offset.
+    """
+    changed = changed_files(listing, state)
+    known = state.select("source_file", "last_offset", "last_size")
+    found = changed.join(known, "source_file", "left")
+    grown = F.col("size") >= F.col("last_size")
+    if carry is not None:
+        held = carry.select("source_file", F.col("last_offset").alias("_carried"))
+        found = found.join(held, "source_file", "left")
+        grown = (F.col("size") > F.col("last_size")) & (F.col("_carried") == F.col("last_offset"))
+    start = F.coalesce(F.when(grown, F.col("last_offset")), F.lit(0).cast("bigint"))
+    return found.select("source", "source_file", "size", "mtime", start.alias("start"))
+
+
+def unread_files(records: DataFrame) -> DataFrame:
+    """(source_file, failure): files of which some range could not be read."""
+    failed = records.filter(F.col("mark.failure").isNotNull())
+    return failed.groupBy("source_file").agg(F.min("mark.failure").alias("failure"))
+
+
+def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    return rows.join(files.select("source_file"), "source_file", "left_anti")
+
+
+def reject_rows(records: DataFrame) -> DataFrame:
+    return records.filter(F.col("reason").isNotNull()).select(*schema.REJECT.fieldNames())
+
+
+@dataclass(frozen=True)
+class SourcePass:
+    """What one source gives to a pass."""
+
+    listing: DataFrame
+    #: Files that were read, with size and mtime as listed.
+    read: DataFrame
+    records: DataFrame
+    events: DataFrame
+    #: State of contextual files after the pass, without offset.
+    carry: DataFrame | None
+
+
+def _read_source(
+    spark: SparkSession, source: Source, root: str, state: DataFrame, carry: DataFrame, folder: str
+) -> SourcePass:
+    listing = discover_files(spark, source.name, root, source.glob)
+    carry = carry if source.contextual else None
+    files = stage(spark, resume_points(listing, state, carry), f"{folder}/files-{source.name}")
+    lines = not_blank(read_ranges(files))
+    records = stage(spark, source.records(lines), f"{folder}/records-{source.name}")
+    unread = unread_files(records).collect()
+    if unread:
+        # It stays changed and is tried again in the next pass.
+        for row in unread[:20]:
+            log.warning("%s: not read: %s: %s", source.name, row.source_file, row.failure)
+        left_out = unread_files(records)
+        records, files = without_files(records, left_out), without_files(files, left_out)
+    if carry is None:
+        return SourcePass(listing, files, records, source.events(records), None)
+    resumed = files.filter(F.col("start") > 0).select("source_file")
+    seed = stage(
+        spark,
+        carry.select(*schema.CARRY.fieldNames()).join(resumed, "source_file", "left_semi"),
+        f"{folder}/seed-{source.name}",
+    )
+    return SourcePass(listing, files, records, source.events(records, seed), carry_state(records, seed))
+
+
 def ingest(
     spark: SparkSession,
     warehouse: Warehouse,
@@ -89,58 +157,42 @@ def ingest(
     pricing_hash: str | None = None,
     sources: dict[str, Source] = SOURCES,
 ) -> IngestResult:
-    """Read what changed below ``roots`` (source name to folder) and append new events.
+    """Read what was added below ``roots`` (source name to folder) and append new events.
 
-    The JSON text is parsed once, into staged narrow records; everything after reads those.
-    Costs are brought up to date first. Repeating a pass, or running it again after a
-    failure, adds nothing twice: ids already stored are left out.
+    Each file is read on from the byte where the last pass ended; what its records carry
+    forward is stored with that byte. The JSON text is parsed once, into staged narrow records;
+    everything after reads those. Costs are brought up to date first. Repeating a pass, or
+    running it again after a failure, adds nothing twice: ids already stored are left out.
     """
     pricing = reprice_if_needed(warehouse, rates, pricing_hash)
     ingest_pass, version = new_pass_id(), warehouse.version()
     folder = scratch_dir(spark, f"ingest-{ingest_pass}")
-    state = warehouse.ingest_state(version)
-
-    listings, changes, parsed, rejects = [], [], [], []
-    for source in (s for s in sources.values() if s.name in roots):
-        root = roots[source.name]
-        listing = discover_files(spark, source.name, root, source.glob)
-        changed = changed_files(listing, state)
-        path = f"{folder}/records-{source.name}"
-
-        def records_of(files: DataFrame) -> DataFrame:
-            lines = read_changed_lines(spark, root, source.glob, files)
-            return stage(spark, source.records(lines), path)
-
-        try:
-            records = records_of(changed)
-        except (Py4JJavaError, PySparkException) as exc:
-            # Leave out what cannot be read; it stays changed and is tried in the next pass.
-            log.warning("%s: reading failed, looking for unreadable files: %s", source.name, exc)
-            readable = readable_files(spark, root, source.glob, changed)
-            changed = stage(spark, readable, f"{folder}/readable-{source.name}")
-            records = records_of(changed)
-        # What has gone or changed while it was read stays unread, for the next pass.
-        there = discover_files(spark, source.name, root, source.glob)
-        changed = changed.join(there, ["source_file", "size", "mtime"], "left_semi")
-        changes.append(stage(spark, changed, f"{folder}/read-{source.name}"))
-        listings.append(listing)
-        parsed.append(source.events(records))
-        rejects.append(
-            records.filter(F.col("reason").isNotNull()).select(*schema.REJECT.fieldNames())
-        )
-    if not listings:
+    state, carry = warehouse.ingest_state(version), warehouse.carry(version)
+    chosen = [s for s in sources.values() if s.name in roots]
+    if not chosen:
         raise ValueError(f"no known source in {sorted(roots)}, expected {sorted(sources)}")
+    passes = [_read_source(spark, s, roots[s.name], state, carry, folder) for s in chosen]
 
-    batch = price(dedup_first(canonical_union(*parsed)), rates)
+    batch = price(dedup_first(canonical_union(*[p.events for p in passes])), rates)
     batch = stage(spark, batch, f"{folder}/events")
     warehouse.append_events(new_events(batch, warehouse.events(version)), ingest_pass, version)
 
     written = warehouse.events(version).filter(F.col("ingest_pass") == ingest_pass)
     counts = rows_per_file(written, sources.values())
+    read = _union([p.read for p in passes])
+    carries = [p.carry for p in passes if p.carry is not None]
+    if carries:
+        after = _union([p.read for p in passes if p.carry is not None]).join(
+            _union(carries), "source_file", "left"
+        )
+        warehouse.append_carry(
+            after.withColumn("ordinal", F.coalesce("ordinal", F.lit(0)))
+            .withColumn("last_offset", F.col("size"))
+            .withColumn("updated_at", F.current_timestamp()),
+            version,
+        )
     warehouse.append_state(
-        _union(changes)
-        .join(counts, ["source", "source_file"], "left")
-        .select(
+        read.join(counts, ["source", "source_file"], "left").select(
             "source_file",
             F.col("size").alias("last_offset"),
             F.col("mtime").alias("last_mtime"),
@@ -150,6 +202,6 @@ def ingest(
         ),
         version,
     )
-    read = [s.name for s in sources.values() if s.name in roots]
-    summary = ingest_summary(_union(listings), counts, read)
-    return IngestResult(ingest_pass, summary, _union(rejects), pricing)
+    summary = ingest_summary(_union([p.listing for p in passes]), counts, [s.name for s in chosen])
+    rejects = _union([reject_rows(p.records) for p in passes])
+    return IngestResult(ingest_pass, summary, rejects, pricing)

@@ -92,7 +92,30 @@ RATES = _table(
 #: A rejected log line.
 REJECT = StructType([*LINES.fields, StructField("reason", _TEXT)])
 
-#: What a rollout file carries forward from one micro-batch to the next.
+#: REJECT as stored.
+STORED_REJECT = StructType([*REJECT.fields, StructField("ingest_pass", _TEXT)])
+
+#: What a rollout file carries forward from one pass, or micro-batch, to the next.
 CARRY = _table(
-    ("source_file", _TEXT), ("model", _TEXT), ("session_id", _TEXT), ("ordinal", _COUNT)
+    ("source_file", _TEXT),
+    ("model", _TEXT),
+    ("session_id", _TEXT),
+    ("cwd", _TEXT),
+    ("ordinal", _COUNT),
+)
+
+#: CARRY as stored: it holds for the bytes of the file before ``last_offset``.
+STORED_CARRY = StructType(
+    [*CARRY.fields, StructField("last_offset", _COUNT), StructField("updated_at", _INSTANT)]
+)
+
+#: What one pass or micro-batch read and gave, per source.
+SUMMARY = _table(
+    ("ingest_pass", _TEXT),
+    ("source", _TEXT),
+    ("files_scanned", _COUNT),
+    ("files_with_new_rows", _COUNT),
+    ("events_inserted", _COUNT),
+    ("lines_rejected", _COUNT),
+    ("files_unread", _COUNT),
 )

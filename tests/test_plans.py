@@ -10,7 +10,8 @@ from meterlake.operators import breakdowns, daily, merge, pricing, windows
 from meterlake.operators.assistant import assistant_records, parse_assistant
 from meterlake.operators.rollout import parse_rollout, rollout_records
 from meterlake.plans.store import Warehouse
-from meterlake.sources.files import discover_files, read_log_lines
+from meterlake.sources.files import read_log_lines
+from meterlake.sources.listing import discover_files
 from meterlake.sources.rates import default_rates
 from tests.conftest import turn, write_lines
 
