@@ -15,6 +15,7 @@ full table costs work, never a result. Phrases are named by 128 bits, and counte
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from meterlake.llm.common import remove_folder, staged
 from meterlake.plans.session import scratch_dir
 
 SHARDS = 4
+#: A part of a shard that is looked at before the rest of it.
+DEALS = 16
 LONGEST = 5
 #: Words of a block, and bytes of text cut into words at a time.
 BLOCK = 1 << 18
@@ -44,7 +47,7 @@ _END = b"."
 
 _STEP_LOW, _STEP_HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
-BLOCK_SCHEMA = "lang string, starts int, n_words long, words binary, codes binary"
+BLOCK_SCHEMA = "lang string, starts int, n_words long, words binary, codes binary, deal int"
 COUNT_SCHEMA = "len int, start int, hi long, lo long, n long"
 
 
@@ -110,8 +113,8 @@ def coded_blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 held[lang] = _Buffer()
                 held[lang].add(left)
             number += 1
-            row = {"lang": lang, **row, "shard": number % SHARDS}
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+            row = {"lang": lang, **row, "deal": number // SHARDS % DEALS, "shard": number % SHARDS}
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
 
         for batch in batches:
@@ -281,16 +284,44 @@ def _counts(spark: SparkSession, folder: str, threshold: int) -> DataFrame:
 
 
 def _texts(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """(lang, len, hi, lo, phrase) of the phrases whose names are looked for, and a few others."""
-    shared = _sent(blocks.sparkSession, _with_cells(np.zeros(1 << CELL_BITS, np.uint8), names, 1))
-    bits = CELL_BITS
+    """(lang, len, hi, lo, phrase) of all ``names``, and a few others.
+
+    One place of each will do. So a small part of the blocks is gone through first, then more, and
+    only phrases that have not been met are written out.
+    """
+    spark, bits = blocks.sparkSession, CELL_BITS
+    frequent = _with_cells(np.zeros(1 << bits, np.uint8), names, 1)
+    first = (F.col("shard") == 0) & (F.col("deal") == 0)
+    parts = [first, (F.col("shard") == 0) & (F.col("deal") > 0), *[F.col("shard") == n for n in range(1, SHARDS)]]
+    found = []
+    for part in parts:
+        left = names
+        for texts in found:
+            left = left.join(texts, ["lang", "len", "hi", "lo"], "left_anti")
+        table = np.where(_with_cells(np.zeros(1 << bits, np.uint8), left, 1) > 0, frequent + 1, frequent)
+        if not (table > 1).any():
+            break
+        shared = _sent(spark, table)
+        found.append(staged(_written_out(blocks.filter(part), shared, bits).distinct(), "texts"))
+        shared.destroy()
+    if not found:
+        return names.withColumn("phrase", F.lit("")).limit(0)
+    # One that only shared cells with others may have been written out again.
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _written_out(blocks: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
+    """The phrases of each block that the table wants written out, once a block."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _received(shared, bits)
+        mask = np.uint64(len(table) - 1)
         for row in (r for b in batches for i in range(len(b)) for r in b.slice(i, 1).to_pylist()):
             walk = Walk(row["lang"], row["words"], row["codes"], table)
             for length, at, low, high, _, seen in walk.lengths():
-                wanted = seen > 0
+                wanted = np.flatnonzero(seen > 0)
+                cells = [table[(x[wanted] & mask).astype(np.int64)] for x in (low, high)]
+                wanted = wanted[(cells[0] > 1) & (cells[1] > 1)]
                 at, low, high = at[wanted], low[wanted], high[wanted]
                 place, _ = _distinct(low, high)
                 yield pa.RecordBatch.from_arrays(
@@ -304,7 +335,7 @@ def _texts(blocks: DataFrame, names: DataFrame) -> DataFrame:
                     names=["lang", "len", "hi", "lo", "phrase"],
                 )
 
-    return blocks.mapInArrow(work, "lang string, len int, hi long, lo long, phrase string").distinct()
+    return blocks.mapInArrow(work, "lang string, len int, hi long, lo long, phrase string")
 
 
 def _scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -371,7 +402,7 @@ def mine_phrases(
     blocks = spark.read.schema(f"{BLOCK_SCHEMA}, shard int").parquet(folder)
     counts = _counts(spark, folder, threshold)
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    texts = _texts(blocks, counts.select("hi", "lo"))
+    texts = _texts(blocks, counts.select("lang", "len", "hi", "lo"))
     phrases = staged(counts.join(texts, ["lang", "len", "hi", "lo"]).select("lang", "phrase", "len", "f"), "phrases")
     kept = (
         _scored(phrases, totals)
