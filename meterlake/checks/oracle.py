@@ -6,6 +6,7 @@ no JSON, no block-wise carry, DECIMAL money sums, ordinary joins for rates.
 
 from __future__ import annotations
 
+from meterlake.checks.logs import ODD_FOLDERS
 from meterlake.checks.usage_view import (
     AS_OF,
     CLAUDE_MODELS,
@@ -166,6 +167,27 @@ rollout_rows AS (
     file AS source_file
   FROM carried WHERE k = 2 AND (inp <> 0 OR outp <> 0))"""
 
+#: Events of both sources, with the id of the event they come from.
+BOTH = """merged AS (
+  SELECT *, CAST(regexp_extract(request_id, '([0-9]+)', 1) AS BIGINT) AS of_id FROM assistant_first
+  UNION ALL BY NAME
+  SELECT r.*, c.id AS of_id FROM rollout_rows r JOIN carried c
+    ON c.k = 2 AND r.event_id = 'codex:' || c.seen_session || ':' || c.ordinal)"""
+
+#: Ids at which the second and third third of the events begin.
+CUTS = """cuts AS (SELECT max(event_id) // 3 AS first_cut, 2 * max(event_id) // 3 AS second_cut FROM events)"""
+
+#: Which of them an ``id`` belongs to, from 0.
+STAGE = "CAST(id >= first_cut AS INTEGER) + CAST(id >= second_cut AS INTEGER)"
+
+FOLDER = f"list_extract([{', '.join(_text(f) for f in ODD_FOLDERS)}], user_id % {len(ODD_FOLDERS)} + 1)"
+
+PLAIN = f"""plain AS (
+  SELECT id, user_id, {FOLDER} AS folder,
+    CASE WHEN id % 9 = 0 THEN '' ELSE id || ' ' || event_type || ' ' || repeat('x', CAST(id % 40 AS INTEGER))
+    END AS line
+  FROM base)"""
+
 _BIGINTS = (
     "input_tokens output_tokens cache_creation_tokens cache_read_tokens cache_create_5m "
     "cache_create_1h reasoning_tokens web_search_requests web_fetch_requests"
@@ -257,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
       CAST(week_tokens AS DOUBLE) / {LIMIT_WEEK} AS week_utilization FROM b"""
     looked_up = f"""{USAGE} SELECT event_id, r_input AS input, r_output AS output,
       r_write_5m AS cache_write_5m, r_write_1h AS cache_write_1h, r_read AS cache_read FROM usage"""
-    ingested = f"""WITH {TRANSCRIPT}, {_priced('assistant_first')}
+    ingested = f"""WITH {TRANSCRIPT}, {ROLLOUT}, {BOTH}, {_priced('merged')}
       SELECT event_id, cost_usd, CAST(total AS BIGINT) AS tokens FROM usage"""
     return {
         # pricing
@@ -312,10 +334,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT source_file, id * 10 + copy AS line_id,
               CASE WHEN torn THEN 'not_json' ELSE 'not_an_object' END AS reason
             FROM copies WHERE torn OR is_array""",
-        "discover_files": f"WITH {TRANSCRIPT} SELECT DISTINCT user_id % 16 AS folder, true AS has_data FROM copies",
-        "read_log_lines": f"""WITH {TRANSCRIPT}
-            SELECT user_id % 16 AS folder, count(*) AS lines FROM copies GROUP BY 1""",
+        "discover_files": f"""WITH {BASE}, {PLAIN}
+            SELECT folder, user_id, CAST(sum(length(line) + 1) AS BIGINT) AS size
+            FROM plain GROUP BY folder, user_id""",
+        "read_log_lines": f"""WITH {BASE}, {PLAIN}
+            SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY id) AS INTEGER)
+              AS position, line AS value FROM plain WHERE line <> ''""",
         "ingest": ingested,
+        "ingest_append": f"""WITH {TRANSCRIPT}, {ROLLOUT}, {BOTH}, {_priced('merged')}, {CUTS}
+            SELECT event_id, cost_usd, CAST(total AS BIGINT) AS tokens,
+              1 + {STAGE} AS pass
+            FROM (SELECT *, of_id AS id FROM usage), cuts""",
+        "ingest_odd_paths": f"""WITH {TRANSCRIPT}
+            SELECT way, {FOLDER} AS folder, count(DISTINCT user_id) AS files, count(*) AS events,
+              CAST(sum(input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens) AS BIGINT)
+                AS tokens
+            FROM (SELECT *, CAST(regexp_extract(source_file, '([0-9]+)', 1) AS BIGINT) AS user_id
+                  FROM assistant_first), (VALUES ('batch'), ('stream')) w(way)
+            GROUP BY way, folder""",
         # totals
         "window_totals": _windows(
             {
@@ -406,9 +442,31 @@ def oracle_sql() -> dict[str, str]:
             coalesce(d.cost, 0.0::DOUBLE) AS cost, coalesce(d.tokens, 0) AS tokens
             FROM cells c LEFT JOIN daily d ON d.series = c.series AND d.day = c.day""",
         # streams
-        "tail_source": f"""WITH {TRANSCRIPT} SELECT event_id, CAST(input_tokens + output_tokens
-            + cache_creation_tokens + cache_read_tokens AS BIGINT) AS tokens
-            FROM assistant_first""",
+        "tail_source": f"""WITH {TRANSCRIPT}, {ROLLOUT} SELECT event_id, CAST(input_tokens
+              + output_tokens + cache_creation_tokens + cache_read_tokens AS BIGINT) AS tokens
+            FROM (SELECT * FROM assistant_first UNION ALL BY NAME SELECT * FROM rollout_rows)""",
+        "stream_summary": f"""WITH {TRANSCRIPT}, {ROLLOUT}, {BOTH}, {CUTS},
+            lines AS (
+              SELECT 'claude' AS source, id, source_file, torn OR is_array AS bad FROM copies
+              UNION ALL SELECT 'codex', id, file, false FROM rollout_lines),
+            added AS (
+              SELECT CASE provider WHEN 'claude' THEN 'claude' ELSE 'codex' END AS source,
+                of_id AS id, source_file FROM merged),
+            read AS (
+              SELECT source, {STAGE} AS batch, count(DISTINCT source_file) AS files_scanned,
+                count(*) FILTER (WHERE bad) AS lines_rejected FROM lines, cuts GROUP BY ALL),
+            gave AS (
+              SELECT source, {STAGE} AS batch, count(DISTINCT source_file) AS files_with_new_rows,
+                count(*) AS events_inserted FROM added, cuts GROUP BY ALL)
+            SELECT *, CAST(0 AS BIGINT) AS files_unread FROM read JOIN gave USING (source, batch)""",
+        "stream_rejects": f"""WITH {TRANSCRIPT}, {ROLLOUT},
+            bad AS (
+              SELECT 'u' || user_id || '.jsonl' AS file,
+                CASE WHEN torn THEN 'not_json' ELSE 'not_an_object' END AS reason
+              FROM copies WHERE torn OR is_array
+              UNION ALL SELECT DISTINCT replace(file, '/logs/', ''), 'not_json'
+              FROM rollout_base WHERE user_id % 5 = 0)
+            SELECT file, reason, count(*) AS lines FROM bad GROUP BY ALL""",
         "stream_ingest": ingested,
         "stream_rollout_carry": rollouts,
         "stream_dedup": f"WITH {BASE} SELECT event_id, ts FROM base",

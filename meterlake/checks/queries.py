@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
+from pyspark.sql.window import Window
 
 from meterlake import schema
+from meterlake.checks import logs
 from meterlake.checks import usage_view as view
 from meterlake.checks.oracle import CUT, RATE_FACTOR
 from meterlake.functions.clock import before, instant, utc_ntz
@@ -17,14 +18,14 @@ from meterlake.functions.text import project_label
 from meterlake.functions.tokens import total_tokens
 from meterlake.operators import breakdowns, daily, merge, pricing, rollout, series, windows
 from meterlake.operators.assistant import parse_assistant
-from meterlake.plans.ingest import ingest, ingest_summary, rows_per_file
+from meterlake.plans.ingest import ingest, ingest_summary, rows_per_file, stage
 from meterlake.plans.reprice import reprice_if_needed
 from meterlake.plans.session import configure, scratch_dir
 from meterlake.plans.store import Warehouse, metadata_upsert, upsert_ingest_state
 from meterlake.sources.files import changed_files, quarantine, read_log_lines
 from meterlake.sources.listing import discover_files
 from meterlake.sources.rates import default_rates
-from meterlake.sources.registry import ASSISTANT_LOGS, SOURCES
+from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS, SOURCES, Source
 from meterlake.sources.tail import tail_source
 from meterlake.streaming import rollups
 from meterlake.streaming.ingest import stream_ingest
@@ -127,9 +128,10 @@ def _canonical_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _append_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = Warehouse(spark, scratch_dir(spark, "append"))
-    usage = _usage(spark, sf_dir)
-    warehouse.append_events(usage.filter(F.col("ts") < _cut()), "first")
-    warehouse.append_events(merge.new_events(usage, warehouse.events()), "second")
+    usage = stage(spark, _usage(spark, sf_dir), scratch_dir(spark, "usage"))
+    early = usage.filter(F.col("ts") < _cut())
+    warehouse.append_events(warehouse.new_events(early, "first"), "first")
+    warehouse.append_events(warehouse.new_events(usage, "second"), "second")
     added = warehouse.events().filter(F.col("ingest_pass") == "second")
     return added.select("event_id", "event_date")
 
@@ -184,34 +186,34 @@ def _metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- files --------------------------------------------------------------------------------
 
-_FOLDERS = 16
-#: Spark names the text files it writes itself.
-_WRITTEN = "part-*"
-_TRANSCRIPTS = replace(ASSISTANT_LOGS, glob=_WRITTEN)
 
-
-def _write_transcripts(spark: SparkSession, sf_dir: str) -> str:
-    """The transcript lines as text files, in a folder per group of users."""
-    root = scratch_dir(spark, "transcripts")
-    user = F.regexp_extract("source_file", r"(\d+)\.jsonl$", 1).cast("bigint")
-    lines = view.transcript_lines(spark, sf_dir).select((user % _FOLDERS).alias("folder"), "value")
-    lines.hint("rebalance", "folder").write.partitionBy("folder").text(root)
-    return root
+def _user_of_path() -> Column:
+    return F.regexp_extract("source_file", r"(\d+)\.jsonl$", 1).cast("bigint")
 
 
 def _folder_of_path() -> Column:
-    folder = F.regexp_extract("source_file", r"/folder=(\d+)/", 1)
-    return folder.cast("bigint").alias("folder")
+    return F.element_at(F.split("source_file", "/"), -2)
+
+
+def _write_plain(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch_dir(spark, "plain")
+    logs.write_logs(logs.plain_files(spark, sf_dir), root)
+    return root
 
 
 def _discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = discover_files(spark, "claude", _write_transcripts(spark, sf_dir), _WRITTEN)
-    return files.groupBy(_folder_of_path()).agg((F.sum("size") > 0).alias("has_data"))
+    files = discover_files(spark, "claude", _write_plain(spark, sf_dir), "*.jsonl")
+    return files.select(_folder_of_path().alias("folder"), _user_of_path().alias("user_id"), "size")
 
 
 def _read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_log_lines(spark, _write_transcripts(spark, sf_dir), _WRITTEN)
-    return lines.groupBy(_folder_of_path()).agg(F.count("*").alias("lines"))
+    root = _write_plain(spark, sf_dir)
+    files = discover_files(spark, "claude", root, "*.jsonl").select("source_file")
+    paths = [r.source_file for r in files.collect()]
+    lines = read_log_lines(spark, paths)
+    order = Window.partitionBy("source_file").orderBy("block_start", "line_id")
+    numbered = lines.withColumn("position", F.row_number().over(order))
+    return numbered.select(_user_of_path().alias("user_id"), "position", "value")
 
 
 def _stored(warehouse: Warehouse) -> DataFrame:
@@ -219,12 +221,46 @@ def _stored(warehouse: Warehouse) -> DataFrame:
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = logs.GrowingLogs(spark, sf_dir)
+    grown.grow(2)
     warehouse = Warehouse(spark, scratch_dir(spark, "ingest"))
-    roots = {"claude": _write_transcripts(spark, sf_dir)}
-    ingest(spark, warehouse, roots, default_rates(spark), "first", {"claude": _TRANSCRIPTS})
+    ingest(spark, warehouse, grown.roots, default_rates(spark), "first")
     return _stored(warehouse)
 
 
+def _ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three passes over files that grow; each event with the number of its pass."""
+    grown = logs.GrowingLogs(spark, sf_dir)
+    warehouse = Warehouse(spark, scratch_dir(spark, "ingest"))
+    number = F
+    for stage in range(3):
+        grown.grow(stage)
+        found = ingest(spark, warehouse, grown.roots, default_rates(spark), "first")
+        number = number.when(F.col("ingest_pass") == found.ingest_pass, F.lit(stage + 1))
+    return warehouse.events().select("event_id", "cost_usd", total_tokens().alias("tokens"), number.alias("pass"))
+
+
+def _ingest_odd_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pass and a stream find below folders with odd names."""
+    grown = logs.GrowingLogs(spark, sf_dir)
+    grown.grow(2, ["claude"])
+    found = []
+    for way in ("batch", "stream"):
+        warehouse = Warehouse(spark, scratch_dir(spark, way))
+        if way == "batch":
+            ingest(spark, warehouse, {"claude": grown.roots["claude"]}, default_rates(spark))
+        else:
+            _drain(warehouse, ASSISTANT_LOGS, grown)
+        files = warehouse.events().groupBy(_folder_of_path().alias("folder"), "source_file")
+        each = files.agg(F.count("*").alias("n"), F.sum(total_tokens()).alias("t"))
+        found.append(
+            each.groupBy("folder")
+            .agg(F.count("*").alias("files"), F.sum("n").alias("events"), F.sum("t").alias("tokens"))
+            .withColumn("way", F.lit(way))
+        )
+    return found[0].unionByName(found[1])
+
+
 # -- streams ------------------------------------------------------------------------------
 
 
@@ -239,29 +275,54 @@ def _run(stream: DataFrame, label: str) -> DataFrame:
 
 
 def _tail_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _write_transcripts(spark, sf_dir)
-    lines = _run(tail_source(spark, {"claude": (root, _WRITTEN)}), "tail")
-    events = merge.dedup_first(parse_assistant(lines))
-    return events.select("event_id", total_tokens().alias("tokens"))
+    grown = logs.GrowingLogs(spark, sf_dir)
+    grown.grow(2)
+    roots = {s.name: (grown.roots[s.name], s.glob) for s in (ASSISTANT_LOGS, ROLLOUT_LOGS)}
+    lines = _run(tail_source(spark, roots).filter("mark IS NULL").drop("mark", "is_open"), "tail")
+    mine = F.col("source") == ASSISTANT_LOGS.name
+    both = merge.canonical_union(parse_assistant(lines.filter(mine)), rollout.parse_rollout(lines.filter(~mine)))
+    return merge.dedup_first(both).select("event_id", total_tokens().alias("tokens"))
+
+
+def _drain(warehouse: Warehouse, source: Source, grown: logs.GrowingLogs) -> None:
+    """Take what a source has now, in micro-batches."""
+    rates = default_rates(warehouse.spark)
+    checkpoint = f"{warehouse.root}/checkpoint-{source.name}"
+    root = grown.roots[source.name]
+    stream_ingest(warehouse.spark, warehouse, source, root, rates, checkpoint, None).awaitTermination()
+
+
+def _streamed(spark: SparkSession, sf_dir: str, sources: list[Source], rewritten: bool = False) -> Warehouse:
+    """The logs as a stream took them, after each third of the events."""
+    grown = logs.GrowingLogs(spark, sf_dir, rewritten)
+    warehouse = Warehouse(spark, scratch_dir(spark, "stream"))
+    for stage in range(3):
+        grown.grow(stage, [s.name for s in sources])
+        for source in sources:
+            _drain(warehouse, source, grown)
+    return warehouse
 
 
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _write_transcripts(spark, sf_dir)
-    folder = scratch_dir(spark, "stream-ingest")
-    warehouse = Warehouse(spark, f"{folder}/tables")
-    stream_ingest(
-        spark, warehouse, _TRANSCRIPTS, root, default_rates(spark), f"{folder}/checkpoint", None
-    ).awaitTermination()
-    return _stored(warehouse)
+    return _stored(_streamed(spark, sf_dir, [ASSISTANT_LOGS, ROLLOUT_LOGS]))
 
 
 def _stream_rollout_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rollout lines in two batches, the second seeded by the state of the first."""
-    records = rollout.rollout_records(view.rollout_lines(spark, sf_dir))
-    early, late = records.filter(F.col("ts") < _cut()), records.filter(F.col("ts") >= _cut())
-    state = rollout.carry_state(early)
-    both = rollout.rollout_events(early).unionByName(rollout.rollout_events(late, state))
-    return _events(both)
+    """Rollouts that grow, some of them written anew, as a stream reads them."""
+    events = _events(_streamed(spark, sf_dir, [ROLLOUT_LOGS], rewritten=True).events())
+    return events.withColumn("source_file", F.concat(F.lit("/logs/"), F.substring_index("source_file", "/", -1)))
+
+
+def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _streamed(spark, sf_dir, [ASSISTANT_LOGS, ROLLOUT_LOGS]).summary()
+    batch = (F.dense_rank().over(Window.partitionBy("source").orderBy("ingest_pass")) - 1).alias("batch")
+    return rows.select(*[c for c in rows.columns if c != "ingest_pass"], batch)
+
+
+def _stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _streamed(spark, sf_dir, [ASSISTANT_LOGS, ROLLOUT_LOGS], rewritten=True).rejects()
+    name = F.substring_index("source_file", "/", -1).alias("file")
+    return rows.groupBy(name, "reason").agg(F.count("*").alias("lines"))
 
 
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,6 +408,8 @@ def queries() -> dict[str, Query]:
         "discover_files": _query(_discover_files),
         "read_log_lines": _query(_read_log_lines),
         "ingest": _query(_ingest),
+        "ingest_append": _query(_ingest_append),
+        "ingest_odd_paths": _query(_ingest_odd_paths),
         "window_totals": _on_usage(_some_windows),
         "summary_kpis": _on_usage(lambda u: windows.summary_kpis(u, view.TZ, view.AS_OF)),
         "summary_meta": _query(lambda s, d: windows.summary_meta(unpriced(s, d))),
@@ -385,6 +448,8 @@ def queries() -> dict[str, Query]:
         "tail_source": _query(_tail_source),
         "stream_ingest": _query(_stream_ingest),
         "stream_rollout_carry": _query(_stream_rollout_carry),
+        "stream_summary": _query(_stream_summary),
+        "stream_rejects": _query(_stream_rejects),
         "stream_dedup": _query(_stream_dedup),
         "stream_daily": _query(_stream_daily),
         "stream_burn": _query(_stream_burn),

@@ -43,6 +43,20 @@ def _one_each(rates: DataFrame) -> DataFrame:
     )
 
 
+def _settled(rates: list[Row]) -> list[Row]:
+    """The same for rows on the driver."""
+
+    def size(row: Row) -> tuple:
+        return tuple(row[name] or 0.0 for name in _RATE_FIELDS)
+
+    best: dict[tuple, Row] = {}
+    for row in rates:
+        key = (row["provider"], row["model_prefix"])
+        if key not in best or size(row) > size(best[key]):
+            best[key] = row
+    return list(best.values())
+
+
 def _rate_struct() -> Column:
     return F.struct(*[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in _RATE_FIELDS])
 
@@ -164,14 +178,14 @@ def rate_lookup(
     keyed = events.withColumns(
         {_KEY: pricing_key(), _MODEL: F.nullif(F.col("model"), F.lit(""))}
     )
-    rates = _one_each(rates)
+    # A rate table made on the driver is listed without a job.
     listed = rates.limit(max_broadcast + 1).collect()
     if len(listed) <= max_cases:
-        found = _match_with_cases(keyed, listed)
+        found = _match_with_cases(keyed, _settled(listed))
     elif len(listed) <= max_broadcast:
-        found = _match_with_book(keyed, rates)
+        found = _match_with_book(keyed, _one_each(rates))
     else:
-        found = _match_with_joins(keyed, rates)
+        found = _match_with_joins(keyed, _one_each(rates))
     return found.drop(_KEY, _MODEL)
 
 

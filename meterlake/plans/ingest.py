@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake import schema
-from meterlake.operators.merge import canonical_union, dedup_first, new_events
+from meterlake.operators.merge import canonical_union, dedup_first
 from meterlake.operators.pricing import price
 from meterlake.operators.rollout import carry_state
 from meterlake.plans.reprice import RepriceResult, reprice_if_needed
@@ -175,7 +175,7 @@ def ingest(
 
     batch = price(dedup_first(canonical_union(*[p.events for p in passes])), rates)
     batch = stage(spark, batch, f"{folder}/events")
-    warehouse.append_events(new_events(batch, warehouse.events(version)), ingest_pass, version)
+    warehouse.append_events(warehouse.new_events(batch, ingest_pass, version), ingest_pass, version)
 
     written = warehouse.events(version).filter(F.col("ingest_pass") == ingest_pass)
     counts = rows_per_file(written, sources.values())
@@ -200,6 +200,7 @@ def ingest(
             F.coalesce("rows", F.lit(0)).alias("rows"),
             F.current_timestamp().alias("updated_at"),
         ),
+        ingest_pass,
         version,
     )
     summary = ingest_summary(_union([p.listing for p in passes]), counts, [s.name for s in chosen])

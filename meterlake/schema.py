@@ -1,9 +1,11 @@
 """Fixed schemas of the engine's tables, never inferred."""
 
 from pyspark.sql.types import (
+    BinaryType,
     DataType,
     DateType,
     DoubleType,
+    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -59,12 +61,18 @@ PARSED_EVENT = _table(
 #: The canonical fact table.
 USAGE_EVENT = StructType([*PARSED_EVENT.fields, StructField("cost_usd", _USD)])
 
-#: USAGE_EVENT as stored: the ingest pass that wrote the row and its UTC date are
-#: partition columns.
+#: USAGE_EVENT as stored, with the ingest pass that wrote the row and its UTC date, the
+#: partition column.
 STORED_EVENT = StructType(
     [*USAGE_EVENT.fields, StructField("ingest_pass", _TEXT), StructField("event_date", _DAY)]
 )
 
+#: Ids of the facts by hash bucket, and slices of each bucket's bitmap.
+LEDGER_IDS = StructType([StructField("event_id", _TEXT), StructField("bucket", IntegerType())])
+LEDGER_MAPS = StructType(
+    [StructField("bucket", IntegerType()), StructField("slice", IntegerType()), StructField("bits", BinaryType())]
+)
+
 #: One row per log file: how far it was read and how many rows it has given.
 INGEST_STATE = _table(
     ("source_file", _TEXT),
@@ -75,6 +83,9 @@ INGEST_STATE = _table(
     ("updated_at", _INSTANT),
 )
 
+#: INGEST_STATE as appended by each pass.
+INGEST_STATE_LOG = StructType([*INGEST_STATE.fields, StructField("ingest_pass", _TEXT)])
+
 #: Key/value log; the newest row of a key is its value.
 METADATA = _table(("key", _TEXT), ("value", _TEXT), ("updated_at", _INSTANT))
 
@@ -109,7 +120,7 @@ STORED_CARRY = StructType(
     [*CARRY.fields, StructField("last_offset", _COUNT), StructField("updated_at", _INSTANT)]
 )
 
-#: What one pass or micro-batch read and gave, per source.
+#: What one micro-batch read and gave.
 SUMMARY = _table(
     ("ingest_pass", _TEXT),
     ("source", _TEXT),

@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 
 _ARROW = {
     "string": "string",
+    "binary": "binary",
+    "int": "int32",
     "bigint": "int64",
     "double": "float64",
     "date": "date32",

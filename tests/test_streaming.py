@@ -2,97 +2,156 @@
 
 import datetime as dt
 import json
+import os
 
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from meterlake import schema
 from meterlake.plans.ingest import ingest
 from meterlake.plans.store import Warehouse
-from meterlake.sources.rates import default_rates
+from meterlake.sources.ranges import MAX_RANGE, ByteRange
+from meterlake.sources.rates import default_rates, rates_from_dict
 from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS
-from meterlake.sources.tail import MAX_RANGE, ByteRange, GrowingLogsReader, _lines, _open, pack
-from meterlake.streaming.ingest import stream_ingest
+from meterlake.sources.tail import GrowingLogsReader, advanced, pack
+from meterlake.streaming.carry import carry_through
+from meterlake.streaming.ingest import ingest_available
 from meterlake.streaming.rollups import stream_daily
 from tests.conftest import by_key, model, rollout_name, session, tokens, turn, write_lines
 
 
 def _read(reader, start, end):
-    out = []
-    for part in reader.partitions(start, end):
-        for batch in reader.read(part):
-            out += batch.to_pylist()
-    return out
+    rows = [r for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+    return [r for r in rows if r["mark"] is None]
 
 
-def test_reader_offsets(tmp_path):
+def _sizes(offset, source="s"):
+    return offset[source]["files"]
+
+
+def test_reader_offsets(tmp_path, monkeypatch):
     spec = {"s": {"root": str(tmp_path), "glob": "*.jsonl"}}
     path = tmp_path / "d" / "a b.jsonl"
     write_lines(path, ["one", "", "two", "thr"], end="")
     (tmp_path / "x.txt").write_text("no\n")
-    reader = GrowingLogsReader(spec, 1 << 20)
-    first = reader.latestOffset()
-    assert first == {"s": {str(path): len("one\n\ntwo\n")}}
-    assert [r["value"] for r in _read(reader, {}, first)] == ["one", "two"]
+    (tmp_path / "_empty.jsonl").write_text("")
+    reader = GrowingLogsReader(spec)
+
+    def opened(*args):
+        raise AssertionError("the driver opens no file")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("meterlake.sources.ranges._lines", opened)
+        patch.setattr("builtins.open", opened)
+        first = reader.latestOffset()
+    assert _sizes(first) == {str(path): path.stat().st_size}
+    assert [r["value"] for r in _read(reader, {}, first)] == ["one", "", "two"]
     with path.open("a") as file:
         file.write("ee\nfour\n")
     second = reader.latestOffset()
     rows = _read(reader, first, second)
     assert [(r["value"], r["line_id"]) for r in rows] == [("three", 9), ("four", 15)]
-    assert reader.partitions(second, reader.latestOffset()) == []
+    assert reader.latestOffset() == second and reader.partitions(second, second) == []
     path.write_text("new\n")  # cut and written anew: read from the start
     third = reader.latestOffset()
     assert [r["value"] for r in _read(reader, second, third)] == ["new"]
-    assert GrowingLogsReader({"s": {"root": str(tmp_path / "no"), "glob": "*"}}, 9).latestOffset() == {
-        "s": {}
-    }
+    assert GrowingLogsReader({"s": {"root": str(tmp_path / "no"), "glob": "*"}}).latestOffset() == {"s": {}}
+
+
+def test_small_batches_give_what_one_large_one_gives(tmp_path):
+    for i in range(7):
+        write_lines(tmp_path / f"{i}.jsonl", [f"{i}-{j}-" + "x" * (7 * j) for j in range(9)])
+    spec = {"s": {"root": str(tmp_path), "glob": "*.jsonl"}}
+    whole = GrowingLogsReader(spec)
+    wanted = {(r["source_file"], r["line_id"], r["value"]) for r in _read(whole, {}, whole.latestOffset())}
+    assert len(wanted) == 63
+    found, start, batches = [], {}, 0
+    reader = GrowingLogsReader(spec, max_range=64, max_batch=100)
+    while (end := reader.latestOffset()) != start:
+        parts = [r for p in reader.partitions(start, end) for _, r in p.ranges]
+        assert sum(r.end - r.start for r in parts) <= 100 and max(r.end - r.start for r in parts) <= 64
+        found += _read(reader, start, end)
+        # Started again: what was handed out last comes from the checkpoint.
+        start, batches = end, batches + 1
+        reader = GrowingLogsReader(spec, max_range=64, max_batch=100, last=json.loads(json.dumps(end)))
+    assert batches > 10 and len(found) == 63
+    assert {(r["source_file"], r["line_id"], r["value"]) for r in found} == wanted
+
+
+def test_finished_files_leave_the_offset(tmp_path):
+    old, new = write_lines(tmp_path / "old.jsonl", ["a"]), tmp_path / "new.jsonl"
+    os.utime(old, (1e9, 1e9))
+    reader = GrowingLogsReader({"s": {"root": str(tmp_path), "glob": "*"}}, idle=3600)
+    first = reader.latestOffset()
+    assert list(_sizes(first)) == [str(old)]
+    write_lines(new, ["b"])
+    second = reader.latestOffset()
+    assert list(_sizes(second)) == [str(new)] and second["s"]["done"] > 1e15
+    assert [r["value"] for r in _read(reader, first, second)] == ["b"]
+    assert reader.latestOffset() == second
+    write_lines(old, ["c"], "a")  # grows after all: from its first byte
+    third = reader.latestOffset()
+    assert [r["value"] for r in _read(reader, second, third)] == ["a", "c"]
+    ranges = [r for p in reader.partitions(second, third) for _, r in p.ranges]
+    assert [r.restarted for r in ranges] == [True]
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 7, 10, 64])
-def test_reader_ranges_give_each_line_once(tmp_path, size):
-    lines = ["a" * n for n in (1, 2, 9, 0, 3, 30, 1, 1, 5)]
-    path = write_lines(tmp_path / "a.jsonl", lines)
-    reader = GrowingLogsReader({"s": {"root": str(tmp_path), "glob": "*.jsonl"}}, size)
-    end = reader.latestOffset()
-    rows = _read(reader, {}, end)
-    assert [r["value"] for r in rows] == [line for line in lines if line]
-    parts = reader.partitions({}, end)
-    ranges = [r for part in parts for r in part.ranges]
-    assert max(r.end - r.start for r in ranges) <= size
-    filesystem, _ = _open(str(tmp_path))
-    offsets = [offset for r in ranges for offset, _ in _lines(filesystem, r)]
-    text = path.read_bytes()
-    assert offsets == [0] + [i + 1 for i, b in enumerate(text[:-1]) if b == 10]
+def test_a_file_not_begun_is_never_taken_for_finished():
+    listing = [("a", 10, 100), ("b", 10, 200), ("c", 10, 50)]
+    one, taken = advanced({}, listing, 15, 1000)
+    assert (taken, one) == (15, {"done": 99, "files": {"c": 10, "a": 5}})
+    two, taken = advanced(one, listing, 15, 1000)
+    assert (taken, two) == (15, {"done": 1000, "files": {"a": 10, "b": 10}})
+    assert advanced(two, listing, 15, 2000) == (two, 0)
+    three, _ = advanced(two, [*listing, ("d", 1, 1500)], 15, 2000)
+    assert three == {"done": 2000, "files": {"d": 1}}
 
 
 def test_small_ranges_share_a_task():
-    ranges = [ByteRange("s", f"f{i}", 0, 1000, False, 1000) for i in range(1000)]
+    ranges = [("s", ByteRange(f"f{i}", 0, 1000, True)) for i in range(1000)]
     packs = pack(ranges, MAX_RANGE, 8)
     assert [r for p in packs for r in p.ranges] == ranges
     assert 8 <= len(packs) <= 17
     assert len(pack(ranges[:3], MAX_RANGE, 8)) == 3
-    large = [ByteRange("s", "f", i, i + MAX_RANGE, i > 0, MAX_RANGE) for i in range(5)]
+    large = [("s", ByteRange("f", i * MAX_RANGE, (i + 1) * MAX_RANGE, True)) for i in range(5)]
     assert len(pack(large, MAX_RANGE, 1)) == 5
     assert pack([], MAX_RANGE, 8) == []
 
 
+def test_records_carry_over_batches():
+    def frame(*rows):
+        columns = ["line_id", "is_usage", "model_set", "session_set", "cwd", "restarted"]
+        return pd.DataFrame(rows, columns=columns)
+
+    first, held = carry_through(
+        frame((30, True, None, None, None, None), (10, False, "m1", None, "/a", None), (20, True, None, "s1", None, None),
+              (40, False, None, None, None, True)), None)
+    assert first["line_id"].tolist() == [10, 20, 30, 40] and first["ordinal"].tolist() == [0, 1, 2, 2]
+    assert first["session"].tolist() == [None, "s1", "s1", "s1"] and held == ("m1", "s1", "/a", 2)
+    mark = (90, None, None, None, None, False)
+    later, after = carry_through(frame((50, True, "m2", None, None, None), mark), held)
+    assert later["model"].tolist() == ["m2", "m2"] and after == ("m2", "s1", "/a", 3)
+    # A range from the first byte that holds nothing of use starts the file over all the same.
+    _, anew = carry_through(frame((90, None, None, None, None, True)), after)
+    assert anew == (None, None, None, 0)
+
+
 class Stream:
     def __init__(self, spark, root):
         self.spark, self.root = spark, root
         self.warehouse = Warehouse(spark, str(root / "tables"))
         self.rates = default_rates(spark)
 
-    def run(self, source):
-        stream_ingest(
+    def run(self, source, **options):
+        return ingest_available(
             self.spark,
             self.warehouse,
             source,
             str(self.root / source.name),
             self.rates,
             str(self.root / f"checkpoint-{source.name}"),
-            every=None,
-            max_range=300,
-        ).awaitTermination()
+            **{"max_range": 300, **options},
+        )
 
     def rows(self):
         return by_key(self.warehouse.events().collect(), "event_id")
@@ -131,6 +190,45 @@ def test_rollouts_continue_over_micro_batches(spark, tmp_path):
     assert same.count() == 0 and batch.events().count() == len(rows)
 
 
+def test_a_stream_goes_on_from_a_batch_pass_and_back(spark, tmp_path):
+    """Each reads only what the other has not, with the other's context."""
+    stream = Stream(spark, tmp_path)
+    folder = tmp_path / "codex"
+    one = write_lines(folder / rollout_name(1), [session("s-one"), model("gpt-4o"), tokens(), json.dumps(tokens(7))[:40]], end="")
+    roots = {"codex": str(folder)}
+    ingest(spark, stream.warehouse, roots, stream.rates)
+    with one.open("a") as file:
+        file.write(json.dumps(tokens(7))[40:] + "\n")
+    # A backlog in batches of a few hundred bytes.
+    assert stream.run(ROLLOUT_LOGS) == 1
+    write_lines(one, [tokens(), model("o3"), *[tokens(n) for n in range(1, 9)]], "a")
+    assert stream.run(ROLLOUT_LOGS, max_batch=400) > 4
+    write_lines(one, [tokens(50)], "a")
+    ingest(spark, stream.warehouse, roots, stream.rates)
+    rows = stream.rows()
+    assert sorted(rows) == sorted(f"codex:s-one:{n}" for n in range(1, 13))
+    assert {n: rows[f"codex:s-one:{n}"].model for n in (1, 3, 4, 12)} == {1: "gpt-4o", 3: "gpt-4o", 4: "o3", 12: "o3"}
+    state = by_key(stream.warehouse.ingest_state().collect(), "source_file")
+    assert state[str(one)].rows == 12 and state[str(one)].last_offset == one.stat().st_size
+    total = stream.warehouse.summary().agg(F.sum("events_inserted")).first()[0]
+    assert total == 10
+
+
+def test_rates_are_asked_for_before_each_batch(spark, tmp_path):
+    stream = Stream(spark, tmp_path)
+    price = {"n": 1.0}
+    stream.rates = lambda: (
+        rates_from_dict(spark, {"anthropic": {"default": {"output": price["n"]}}}), f"rates-{price['n']}"
+    )
+    file = write_lines(tmp_path / "claude" / "s.jsonl", [turn("A"), "{torn"])
+    stream.run(ASSISTANT_LOGS)
+    price["n"] = 2.0
+    write_lines(file, [turn("B")], "a")
+    stream.run(ASSISTANT_LOGS)
+    assert {i: r.cost_usd for i, r in stream.rows().items()} == {"claude:A": 0.00128, "claude:B": 0.00128}
+    assert [(r.value, r.reason) for r in stream.warehouse.rejects().collect()] == [("{torn", "not_json")]
+
+
 def test_transcripts_are_never_counted_twice(spark, tmp_path):
     stream = Stream(spark, tmp_path)
     file = write_lines(tmp_path / "claude" / "s.jsonl", [turn("A"), turn("A"), turn("B")])
