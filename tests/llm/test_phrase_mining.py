@@ -61,22 +61,25 @@ def corpus(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize("cells, block", [(24, 1 << 18), (15, 200), (24, 23)])
-def test_against_brute_force(spark, monkeypatch, cells, block):
+@pytest.mark.parametrize("cells, block, shards", [(15, 200, 4), (24, 23, 2)])
+def test_against_brute_force(spark, monkeypatch, cells, block, shards):
     # Few cells make phrases share them; small blocks cut texts and pieces.
     monkeypatch.setattr(module, "CELL_BITS", cells)
+    monkeypatch.setattr(module, "SHARDS", shards)
     monkeypatch.setattr(module, "BLOCK", block)
     docs = corpus(1) + [("en", None), ("fr", ""), (None, None), ("en", " .,; ")]
     found = mined(spark, docs, threshold=8)
     assert found == brute_force(docs, 8) and len(found) > 20
 
 
-def test_top_and_ties(spark):
+def test_top_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(module, "SHARDS", 2)
     docs = corpus(2, 60) * 2
     assert mined(spark, docs, threshold=6, top=7) == brute_force(docs, 6, 7)
 
 
-def test_empty_table_and_nothing_frequent(spark):
+def test_empty_table_and_nothing_frequent(spark, monkeypatch):
+    monkeypatch.setattr(module, "SHARDS", 1)
     assert mined(spark, [], threshold=2) == []
     assert mined(spark, [("en", "one two three")], threshold=2) == []
 
@@ -84,6 +87,7 @@ def test_empty_table_and_nothing_frequent(spark):
 def test_long_text_without_ends(spark, monkeypatch):
     monkeypatch.setattr(module, "PIECE", 64)
     monkeypatch.setattr(module, "BLOCK", 50)
+    monkeypatch.setattr(module, "SHARDS", 2)
     rnd = random.Random(3)
     text = " ".join(rnd.choice(["a", "b", "c d e f", "g h"]) for _ in range(2000))
     docs = [("en", text)]
