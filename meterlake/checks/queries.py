@@ -73,9 +73,21 @@ def _query(build: Query) -> Query:
 # -- pricing ------------------------------------------------------------------------------
 
 
-def _rate_lookup(**bounds: int) -> Query:
+#: Rows of the long rate table.
+MANY_RATES = 100_000
+
+
+def _many_rates(spark: SparkSession) -> DataFrame:
+    """The rates with many more for names that extend listed ones and that no event has."""
+    listed = default_rates(spark)
+    more = spark.range(MANY_RATES).join(F.broadcast(listed.filter("provider <> 'local'").limit(1)))
+    longer = F.concat(F.coalesce("model_prefix", F.lit("claude-opus-4-8")), F.lit("-unused-"), F.col("id"))
+    return listed.union(more.select("provider", longer, *listed.columns[2:]))
+
+
+def _rate_lookup(rates: Callable[[SparkSession], DataFrame] = default_rates, **bounds: int) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = pricing.rate_lookup(view.unpriced(spark, sf_dir), default_rates(spark), **bounds)
+        found = pricing.rate_lookup(view.unpriced(spark, sf_dir), rates(spark), **bounds)
         return found.select("event_id", "rate.*")
 
     return build
@@ -379,8 +391,8 @@ def queries() -> dict[str, Query]:
             lambda s, d: unpriced(s, d).select("event_id", pricing.pricing_key().alias("rate_key"))
         ),
         "rate_lookup": _query(_rate_lookup()),
-        "rate_lookup_book": _query(_rate_lookup(max_cases=0)),
-        "rate_lookup_joined": _query(_rate_lookup(max_cases=0, max_broadcast=0)),
+        "rate_lookup_book": _query(_rate_lookup(_many_rates)),
+        "rate_lookup_joined": _query(_rate_lookup(max_broadcast=0)),
         "event_cost": _on_usage(lambda u: u.select("event_id", "cost_usd")),
         "reprice": _query(_reprice),
         "parse_assistant": _query(

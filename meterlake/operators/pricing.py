@@ -6,14 +6,14 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-#: Rate tables up to this many rows become one CASE expression: no join, inside code
-#: generation. (Measured: pricing ten million rows adds 0.5 s to the scan this way, 5.5 s
-#: with the book below; far larger expressions fall out of compiled code.)
-MAX_CASE_RATES = 64
-#: Up to this many, a book of prefixes per provider is broadcast; larger tables are matched
-#: by shuffled joins.
-MAX_BROADCAST_RATES = 4096
+from meterlake.operators.intervals import Book, combine, find, flatten
+
+#: Rate tables up to this many rows are searched in the tasks, see :mod:`.intervals` (at most 200
+#: bytes a row and a half of names as long as those of models); larger ones are matched by
+#: shuffled joins on the distinct models.
+MAX_BROADCAST_RATES = 1 << 18
 
 _RATE_FIELDS = ("input", "output", "cache_write_5m", "cache_write_1h", "cache_read")
 _KEY, _MODEL = "_rate_key", "_rate_model"
@@ -65,53 +65,41 @@ def _no_rate() -> Column:
     return F.struct(*[F.lit(0.0).alias(n) for n in _RATE_FIELDS])
 
 
-def _match_with_cases(events: DataFrame, rates: list[Row]) -> DataFrame:
-    """The whole rate table as one SQL expression, longest prefixes first."""
+_RATE = StructType([StructField(n, DoubleType()) for n in _RATE_FIELDS])
+_NONE = dict.fromkeys(_RATE_FIELDS, 0.0)
 
-    def text(value: str) -> str:
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def literal(row: dict) -> str:
-        fields = ", ".join(f"'{n}', {float(row.get(n) or 0.0)!r}D" for n in _RATE_FIELDS)
-        return f"named_struct({fields})"
+def rate_books(rates: list[Row]) -> dict[str, Book]:
+    """The rates of each provider as intervals of model names."""
+    defaults: dict[str, dict] = {}
+    named: dict[str, dict[str, dict]] = defaultdict(dict)
+    for row in _settled(rates):
+        rate = {n: float(row[n] or 0.0) for n in _RATE_FIELDS}
+        if row["model_prefix"] is None:
+            defaults[row["provider"]] = rate
+        else:
+            named[row["provider"]][row["model_prefix"]] = rate
+    providers = [p for p in {**defaults, **named} if p is not None]
+    return {p: flatten(named.get(p, {}), defaults.get(p, _NONE)) for p in providers}
 
-    by_provider = defaultdict(list)
-    for row in rates:
-        by_provider[row["provider"]].append(row.asDict())
-    lists = []
-    for provider, rows in by_provider.items():
-        named = [r for r in rows if r["model_prefix"] is not None]
-        default = next((r for r in rows if r["model_prefix"] is None), {})
-        choices = "".join(
-            f" WHEN startswith({_MODEL}, {text(r['model_prefix'])}) THEN {literal(r)}"
-            for r in sorted(named, key=lambda r: -len(r["model_prefix"]))
-        )
-        choice = f"CASE{choices} ELSE {literal(default)} END" if named else literal(default)
-        lists.append(f" WHEN {_KEY} = {text(provider)} THEN {choice}")
-    rate = f"CASE{''.join(lists)} ELSE {literal({})} END" if lists else literal({})
-    return events.withColumn("rate", F.expr(rate))
-
-
-def _book(rates: DataFrame) -> DataFrame:
-    """One row per provider: its default and its prefixes, longest first."""
-    entry = F.struct(
-        (-F.length("model_prefix")).alias("order"),
-        F.col("model_prefix").alias("prefix"),
-        _rate_struct().alias("rate"),
-    )
-    named = F.col("model_prefix").isNotNull()
-    return rates.groupBy(F.col("provider").alias(_KEY)).agg(
-        F.sort_array(F.collect_list(F.when(named, entry))).alias("prefixes"),
-        F.max(F.when(~named, _rate_struct())).alias("default_rate"),
-    )
 
+def changed_rates(before: list[Row], now: list[Row]) -> dict[str, Book]:
+    """By provider, which model names have another rate; providers without a change are left out."""
+    old, new, nothing = rate_books(before), rate_books(now), flatten({}, _NONE)
+    books = {
+        p: combine(old.get(p, nothing), new.get(p, nothing), lambda a, b: a != b) for p in {**old, **new}
+    }
+    return {p: b for p, b in books.items() if b.default or any(value for _, value in b.marks)}
 
-def _match_with_book(events: DataFrame, rates: DataFrame) -> DataFrame:
-    """One broadcast hash join on the provider, then the first prefix that fits."""
-    joined = events.join(F.broadcast(_book(rates)), _KEY, "left")
-    fits = F.filter("prefixes", lambda p: F.startswith(F.col(_MODEL), p["prefix"]))
-    rate = F.coalesce(F.get(fits, F.lit(0))["rate"], F.col("default_rate"), _no_rate())
-    return joined.withColumn("rate", rate).drop("prefixes", "default_rate")
+
+def _keyed(events: DataFrame) -> DataFrame:
+    return events.withColumns({_KEY: pricing_key(), _MODEL: F.nullif(F.col("model"), F.lit(""))})
+
+
+def at_changed_rates(events: DataFrame, changed: dict[str, Book]) -> DataFrame:
+    """Those events whose rate differs, see :func:`changed_rates`; the facts are not shuffled."""
+    found = find(_keyed(events), changed, _KEY, _MODEL, BooleanType(), False, "_changed")
+    return found.filter("_changed").select(*events.columns)
 
 
 def _match_with_joins(events: DataFrame, rates: DataFrame) -> DataFrame:
@@ -163,27 +151,20 @@ def _match_with_joins(events: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def rate_lookup(
-    events: DataFrame,
-    rates: DataFrame,
-    max_cases: int = MAX_CASE_RATES,
-    max_broadcast: int = MAX_BROADCAST_RATES,
+    events: DataFrame, rates: DataFrame, max_broadcast: int = MAX_BROADCAST_RATES
 ) -> DataFrame:
     """Add ``rate``, a struct of the five rates that apply to each event.
 
     The longest matching model prefix wins (an exact name is the longest possible), else
-    the provider's default, else zeros. How the facts meet the rates depends on the size of
-    the rate table, which is looked at here, ``max_broadcast`` rows at most; up to that size
-    the facts are read once and not shuffled. The result does not depend on it.
+    the provider's default, else zeros. The rate table is configuration and read here; the facts
+    are read once and not shuffled. A table of more than ``max_broadcast`` rows is not read here
+    but joined, with the same result.
     """
-    keyed = events.withColumns(
-        {_KEY: pricing_key(), _MODEL: F.nullif(F.col("model"), F.lit(""))}
-    )
+    keyed = _keyed(events)
     # A rate table made on the driver is listed without a job.
     listed = rates.limit(max_broadcast + 1).collect()
-    if len(listed) <= max_cases:
-        found = _match_with_cases(keyed, _settled(listed))
-    elif len(listed) <= max_broadcast:
-        found = _match_with_book(keyed, _one_each(rates))
+    if len(listed) <= max_broadcast:
+        found = find(keyed, rate_books(listed), _KEY, _MODEL, _RATE, _NONE, "rate")
     else:
         found = _match_with_joins(keyed, _one_each(rates))
     return found.drop(_KEY, _MODEL)

@@ -84,11 +84,10 @@ def test_top_lists_are_cut_per_partition(events):
 
 def test_pricing_needs_no_shuffle_of_the_facts(spark, events):
     plain = events.drop("cost_usd")
-    assert _exchanges(_plan(pricing.price(plain, default_rates(spark)))) == 0
-    assert "Join" not in _plan(pricing.price(plain, default_rates(spark)))
-    book = _plan(pricing.rate_lookup(plain, default_rates(spark), max_cases=0))
-    assert "BroadcastHashJoin" in book and "NestedLoop" not in book
-    joined = _plan(pricing.rate_lookup(plain, default_rates(spark), 0, 0))
+    plan = _plan(pricing.price(plain, default_rates(spark)))
+    assert _exchanges(plan) == 0 and plan.count("FileScan") == 1
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    joined = _plan(pricing.rate_lookup(plain, default_rates(spark), 0))
     assert "NestedLoop" not in joined and "Cartesian" not in joined
 
 

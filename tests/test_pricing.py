@@ -9,7 +9,7 @@ COLUMNS = (
     "provider string, model string, input_tokens bigint, output_tokens bigint, "
     "cache_read_tokens bigint, cache_create_5m bigint, cache_create_1h bigint"
 )
-BOUNDS = [{}, {"max_cases": 0}, {"max_cases": 0, "max_broadcast": 0}]
+BOUNDS = [{}, {"max_broadcast": 0}]
 
 
 def _rate(spark, provider, model, bounds):
@@ -122,3 +122,48 @@ def test_duplicate_rates_have_one_answer(spark):
     event = spark.createDataFrame([("openai", "gpt-9")], "provider string, model string")
     for bounds in BOUNDS:
         assert rate_lookup(event, rates, **bounds).first().rate.input == 3.0
+
+
+def test_intervals_give_the_longest_prefix():
+    """All texts over a small alphabet, its ends included, against a plain search."""
+    import itertools
+    import random
+
+    from meterlake.operators.intervals import after, combine, flatten
+
+    letters = ["a", "b", "\ud7ff", "\ue000", "\U0010ffff"]
+    texts = ["".join(t) for n in range(5) for t in itertools.product(letters, repeat=n)]
+    assert after("a") == "b" and after("\ud7ff") == "\ue000" and after("a\U0010ffff") == "b"
+    assert after("\U0010ffff") is None
+
+    def best(prefixes, text):
+        fits = [p for p in prefixes if text.startswith(p)]
+        return prefixes[max(fits, key=len)] if fits else -1
+
+    def look(book, text):
+        return [v for start, v in book.marks if start <= text][-1]
+
+    random.seed(5)
+    for size in (0, 1, 3, 20, 100):
+        one, two = ({p: n for n, p in enumerate(random.sample(texts, size))} for _ in range(2))
+        books = flatten(one, -1), flatten(two, -1)
+        for prefixes, book in zip((one, two), books):
+            assert [s for s, _ in book.marks] == sorted({s for s, _ in book.marks})
+            assert all(look(book, t) == best(prefixes, t) for t in texts)
+        both = combine(*books, lambda a, b: a != b)
+        assert all(look(both, t) == (best(one, t) != best(two, t)) for t in texts)
+    assert len(combine(books[0], books[0], lambda a, b: a != b).marks) == 1
+
+
+def test_many_rates(spark):
+    """A hundred thousand prefixes: both ways find the same, the longest."""
+    from meterlake import schema
+
+    rows = [("openai", f"m{n}", float(n), 0.0, 0.0, 0.0, 0.0) for n in range(100_000)]
+    rates = spark.createDataFrame(rows, schema.RATES)
+    models = [(f"m{n * 977 % 200_000}-x",) for n in range(500)]
+    events = spark.createDataFrame(models, "model string").withColumn("provider", F.lit("openai"))
+    for bounds in BOUNDS:
+        for row in rate_lookup(events, rates, **bounds).collect():
+            digits = row.model[1:-2]
+            assert row.rate.input == float(digits if int(digits) < 100_000 else digits[:-1])
