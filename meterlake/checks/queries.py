@@ -80,9 +80,10 @@ MANY_RATES = 100_000
 def _many_rates(spark: SparkSession) -> DataFrame:
     """The rates with many more for names that extend listed ones and that no event has."""
     listed = default_rates(spark)
-    more = spark.range(MANY_RATES).join(F.broadcast(listed.filter("provider <> 'local'").limit(1)))
-    longer = F.concat(F.coalesce("model_prefix", F.lit("claude-opus-4-8")), F.lit("-unused-"), F.col("id"))
-    return listed.union(more.select("provider", longer, *listed.columns[2:]))
+    longer = F.concat(F.lit("claude-opus-4-8-unused-"), F.col("id")).alias("model_prefix")
+    zeros = [F.lit(0.0).alias(c) for c in listed.columns[2:]]
+    more = spark.range(MANY_RATES).select(F.lit("anthropic").alias("provider"), longer, *zeros)
+    return listed.unionByName(more)
 
 
 def _rate_lookup(rates: Callable[[SparkSession], DataFrame] = default_rates, **bounds: int) -> Query:

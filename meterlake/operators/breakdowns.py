@@ -17,6 +17,10 @@ CLASSES = {
 }
 
 
+#: Size of a session sketch as a power of two; the standard error is 1.04 / sqrt(2 ** SKETCH_BITS).
+SKETCH_BITS = 12
+
+
 def _tokens() -> Column:
     return F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("tokens")
 
@@ -66,6 +70,49 @@ def by_project(events: DataFrame, limit: int = 30) -> DataFrame:
     )
 
 
+def project_sums(events: DataFrame, *keys: str) -> DataFrame:
+    """What totals by project can be made of: integer sums, first and last instant and a mergeable
+    sketch of the session ids by project and provider. Sessions without an id do not count."""
+    return events.groupBy("project", "provider", *keys).agg(
+        F.count("*").alias("events"),
+        F.sum(money.micro_part(F.col("cost_usd"))).alias("micro"),
+        F.sum(money.pico_part(F.col("cost_usd"))).alias("pico"),
+        F.sum(total_tokens()).alias("tokens"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.hll_sketch_agg("session_id", F.lit(SKETCH_BITS)).alias("session_sketch"),
+    )
+
+
+def _merged_sums() -> list[Column]:
+    sessions = F.hll_sketch_estimate(F.hll_union_agg("session_sketch"))
+    return [
+        F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
+        F.coalesce(sessions, F.lit(0)).alias("sessions"),
+    ]
+
+
+def by_project_kept(kept: DataFrame, limit: int = 30) -> DataFrame:
+    """:func:`by_project` from stored :func:`project_sums`, in any number of parts; sessions are
+    estimated from the merged sketches, all else is exact."""
+    totals = kept.groupBy("project", "provider").agg(
+        *_merged_sums(),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        money.total(F.sum("micro"), F.sum("pico")).alias("cost"),
+        F.max("last_ts").alias("last_ts"),
+    )
+    return (
+        totals.withColumn("project", F.coalesce("project", F.lit("(none)")))
+        .orderBy(F.desc("cost"), "project", "provider")
+        .limit(limit)
+    )
+
+
+def meta_kept(kept: DataFrame) -> DataFrame:
+    """Number of events and sessions (estimated), first and last instant, from the same sums."""
+    return kept.agg(*_merged_sums(), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
 def top_sessions(events: DataFrame, limit: int = 25) -> DataFrame:
     """The ``limit`` dearest sessions with the provider, model and project they began with.
 

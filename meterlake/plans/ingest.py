@@ -165,6 +165,8 @@ def ingest(
     running it again after a failure, adds nothing twice: ids already stored are left out.
     """
     pricing = reprice_if_needed(warehouse, rates, pricing_hash)
+    if pricing_hash is None:
+        warehouse.forget_rates()
     ingest_pass, version = new_pass_id(), warehouse.version()
     folder = scratch_dir(spark, f"ingest-{ingest_pass}")
     state, carry = warehouse.ingest_state(version), warehouse.carry(version)

@@ -19,10 +19,18 @@ def summary(events: DataFrame, tz: str, as_of: AsOf = None) -> dict[str, DataFra
 
 
 def heatmap(
-    events: DataFrame, tz: str, days: int = 365, metric: str = "cost", as_of: AsOf = None
+    events: DataFrame,
+    tz: str,
+    days: int = 365,
+    metric: str = "cost",
+    as_of: AsOf = None,
+    kept: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Daily series, the chosen measure with heat classes and moving average, totals, grid."""
-    burn = daily.daily_burn(events, tz, days, as_of)
+    """Daily series, the chosen measure with heat classes and moving average, totals, grid.
+
+    With ``kept`` (:meth:`Warehouse.daily`) no frame scans the facts.
+    """
+    burn = daily.daily_burn(events, tz, days, as_of, kept=kept)
     values = series.select_metric(burn, metric)
     return {
         "series": burn,

@@ -67,6 +67,40 @@ STORED_EVENT = StructType(
     [*USAGE_EVENT.fields, StructField("ingest_pass", _TEXT), StructField("event_date", _DAY)]
 )
 
+#: Which rewrite of its date a stored row belongs to, a partition column below the date.
+GENERATION = StructField("generation", IntegerType())
+
+#: Kept sums by quarter of an hour, and by project.
+KEPT_DAILY = StructType(
+    [
+        *_table(
+            ("slot", _INSTANT),
+            ("provider", _TEXT),
+            ("ingest_pass", _TEXT),
+            *[(n, _COUNT) for n in ("micro", "pico", "tokens", "input", "output", "cache_read", "cache_creation")],
+            ("written_at", _INSTANT),
+            ("event_date", _DAY),
+        ).fields,
+        GENERATION,
+    ]
+)
+KEPT_PROJECTS = StructType(
+    [
+        *_table(
+            ("project", _TEXT),
+            ("provider", _TEXT),
+            ("ingest_pass", _TEXT),
+            *[(n, _COUNT) for n in ("events", "micro", "pico", "tokens")],
+            ("first_ts", _INSTANT),
+            ("last_ts", _INSTANT),
+            ("session_sketch", BinaryType()),
+            ("written_at", _INSTANT),
+            ("event_date", _DAY),
+        ).fields,
+        GENERATION,
+    ]
+)
+
 #: Ids of the facts by hash bucket, and slices of each bucket's bitmap.
 LEDGER_IDS = StructType([StructField("event_id", _TEXT), StructField("bucket", IntegerType())])
 LEDGER_MAPS = StructType(
