@@ -281,11 +281,16 @@ def oracle_sql() -> dict[str, str]:
       r_write_5m AS cache_write_5m, r_write_1h AS cache_write_1h, r_read AS cache_read FROM usage"""
     ingested = f"""WITH {TRANSCRIPT}, {ROLLOUT}, {BOTH}, {_priced('merged')}
       SELECT event_id, cost_usd, CAST(total AS BIGINT) AS tokens FROM usage"""
+    by_project = f"""{USAGE} SELECT coalesce(usage.project, '(none)') AS project, provider,
+            count(*) AS events, count(DISTINCT session_id) AS sessions, {_sum('total')} AS tokens,
+            {_cost()} AS cost, max(ts) AS last_ts FROM usage GROUP BY usage.project, provider
+            ORDER BY cost DESC, 1, provider LIMIT 30"""
+    dearer = f"WITH {BASE}, {_priced('base', factor=RATE_FACTOR)}"
     return {
         # pricing
         "pricing_key": f"{USAGE} SELECT event_id, rate_key FROM usage",
         **{name: looked_up for name in ("rate_lookup", "rate_lookup_book", "rate_lookup_joined")},
-        "event_cost": f"{USAGE} SELECT event_id, cost_usd FROM usage",
+        **{name: f"{USAGE} SELECT event_id, cost_usd FROM usage" for name in ("event_cost", "load_rates")},
         "reprice": f"""WITH {BASE}, {_priced('base', factor=RATE_FACTOR)}
             SELECT event_id, cost_usd FROM usage""",
         # parsing
@@ -402,10 +407,8 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN input + cache_read + cache_creation > 0
                 THEN CAST(cache_read AS DOUBLE) / (input + cache_read + cache_creation)
                 ELSE 0.0::DOUBLE END AS cache_hit_ratio FROM m""",
-        "by_project": f"""{USAGE} SELECT coalesce(usage.project, '(none)') AS project, provider,
-            count(*) AS events, count(DISTINCT session_id) AS sessions, {_sum('total')} AS tokens,
-            {_cost()} AS cost, max(ts) AS last_ts FROM usage GROUP BY usage.project, provider
-            ORDER BY cost DESC, 1, provider LIMIT 30""",
+        "by_project": by_project,
+        "by_project_sketch": f"SELECT *, true AS within_bound FROM ({by_project})",
         "project_label": f"""WITH {BASE} SELECT DISTINCT project, CASE
             WHEN project IS NULL THEN '(none)'
             ELSE '.../u/p' || (user_id % 12) END AS label FROM base""",
@@ -430,6 +433,11 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(CAST(cost AS DECIMAL(38,12))) OVER w AS DOUBLE) / count(*) OVER w AS moving_avg
             FROM daily WINDOW w AS (PARTITION BY series ORDER BY day
               ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+        "moving_avg_7_tokens": f"""{DAILY} SELECT series, day, CAST(tokens AS DOUBLE) AS value,
+            CAST(sum(tokens) OVER w AS DOUBLE) / count(*) OVER w AS moving_avg
+            FROM daily WINDOW w AS (PARTITION BY series ORDER BY day
+              ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+        "daily_burn_kept": f"{DAILY.replace(USAGE, dearer, 1)} SELECT * FROM daily",
         "color_bucket": f"""{DAILY}, v AS (SELECT series, day, cost AS value,
               max(cost) OVER (PARTITION BY series) AS mx FROM daily)
             SELECT series, day, value, CASE WHEN mx > 0 THEN {_BUCKET} ELSE 0 END AS bucket FROM v""",

@@ -24,7 +24,7 @@ from meterlake.plans.session import configure, scratch_dir
 from meterlake.plans.store import Warehouse, metadata_upsert, upsert_ingest_state
 from meterlake.sources.files import changed_files, quarantine, read_log_lines
 from meterlake.sources.listing import discover_files
-from meterlake.sources.rates import default_rates
+from meterlake.sources.rates import default_rates, load_rates
 from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS, SOURCES, Source
 from meterlake.sources.tail import tail_source
 from meterlake.streaming import rollups
@@ -94,21 +94,55 @@ def _rate_lookup(rates: Callable[[SparkSession], DataFrame] = default_rates, **b
     return build
 
 
+def _loaded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs at rates that were written as a folder of CSV parts and loaded from there."""
+    path = f"{scratch_dir(spark, 'rates')}/rates.csv"
+    default_rates(spark).write.option("header", "true").csv(path)
+    rates, _ = load_rates(spark, path)
+    return pricing.price(view.unpriced(spark, sf_dir), rates).select("event_id", "cost_usd")
+
+
+def _dearer(spark: SparkSession) -> DataFrame:
+    factor = F.lit(RATE_FACTOR)
+    rates = default_rates(spark)
+    return rates.select(*rates.columns[:2], *[(F.col(f) * factor).alias(f) for f in rates.columns[2:]])
+
+
+def _two_passes(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The events stored in two passes, of which the second brings the early ones again."""
+    warehouse = Warehouse(spark, scratch_dir(spark, "tables"))
+    reprice_if_needed(warehouse, default_rates(spark), "first")
+    usage = stage(spark, _usage(spark, sf_dir), scratch_dir(spark, "usage"))
+    warehouse.append_events(warehouse.new_events(usage.filter(F.col("ts") < _cut()), "first"), "first")
+    warehouse.append_events(warehouse.new_events(usage, "second"), "second")
+    return warehouse
+
+
 def _reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = Warehouse(spark, scratch_dir(spark, "reprice"))
-    rates = default_rates(spark)
-    reprice_if_needed(warehouse, rates, "first")
+    reprice_if_needed(warehouse, default_rates(spark), "first")
     warehouse.append_events(_usage(spark, sf_dir), "all")
-    factor = F.lit(RATE_FACTOR)
-    dearer = rates.select(
-        "provider",
-        "model_prefix",
-        *[(F.col(f) * factor).alias(f) for f in rates.columns if f not in ("provider", "model_prefix")],
-    )
-    reprice_if_needed(warehouse, dearer, "second")
+    reprice_if_needed(warehouse, _dearer(spark), "second")
     return warehouse.events().select("event_id", "cost_usd")
 
 
+def _daily_burn_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily series from the kept slots, after two passes and a reprice."""
+    warehouse = _two_passes(spark, sf_dir)
+    reprice_if_needed(warehouse, _dearer(spark), "second")
+    return daily.daily_burn(warehouse.events(), view.TZ, DAYS, view.AS_OF, kept=warehouse.daily())
+
+
+def _by_project_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept project totals, the exact number of sessions and whether the sketch is in its bound."""
+    warehouse = _two_passes(spark, sf_dir)
+    exact = breakdowns.by_project(warehouse.events()).select("project", "provider", "sessions")
+    found = breakdowns.by_project_kept(warehouse.projects()).withColumnRenamed("sessions", "estimate")
+    bound = F.col("sessions") * (3 * 1.04 / 2 ** (breakdowns.SKETCH_BITS / 2))
+    within = (F.abs(F.col("estimate") - F.col("sessions")) <= bound).alias("within_bound")
+    return found.join(exact, ["project", "provider"]).select("*", within).drop("estimate")
+
+
 # -- parsing ------------------------------------------------------------------------------
 
 
@@ -140,12 +174,7 @@ def _canonical_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _append_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    warehouse = Warehouse(spark, scratch_dir(spark, "append"))
-    usage = stage(spark, _usage(spark, sf_dir), scratch_dir(spark, "usage"))
-    early = usage.filter(F.col("ts") < _cut())
-    warehouse.append_events(warehouse.new_events(early, "first"), "first")
-    warehouse.append_events(warehouse.new_events(usage, "second"), "second")
-    added = warehouse.events().filter(F.col("ingest_pass") == "second")
+    added = _two_passes(spark, sf_dir).events().filter(F.col("ingest_pass") == "second")
     return added.select("event_id", "event_date")
 
 
@@ -395,6 +424,7 @@ def queries() -> dict[str, Query]:
         "rate_lookup_book": _query(_rate_lookup(_many_rates)),
         "rate_lookup_joined": _query(_rate_lookup(max_broadcast=0)),
         "event_cost": _on_usage(lambda u: u.select("event_id", "cost_usd")),
+        "load_rates": _query(_loaded_rates),
         "reprice": _query(_reprice),
         "parse_assistant": _query(
             lambda s, d: _events(parse_assistant(view.transcript_lines(s, d)))
@@ -455,6 +485,11 @@ def queries() -> dict[str, Query]:
         "daily_burn": _daily(lambda d: d),
         "select_metric": _daily(lambda d: series.select_metric(d, "tokens")),
         "moving_avg_7": _values(series.moving_avg_7),
+        "moving_avg_7_tokens": _daily(
+            lambda d: series.moving_avg_7(series.select_metric(d, "tokens"))
+        ),
+        "daily_burn_kept": _query(_daily_burn_kept),
+        "by_project_sketch": _query(_by_project_sketch),
         "color_bucket": _values(series.color_bucket),
         "panel_totals": _daily(series.panel_totals),
         "calendar_grid": _daily(lambda d: series.calendar_grid(d, DAYS)),
