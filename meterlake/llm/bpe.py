@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -356,9 +355,8 @@ def decode_ids(ids: bytes, bytes_of: list[bytes]) -> bytes:
     return b"".join(out)
 
 
-@cache
 def _machine(packed: bytes, pattern: str) -> tuple[Encoder, list[bytes]]:
-    """Kept by a Python worker from task to task."""
+    """Made by each task and given up with it: workers are reused by other operators."""
     lines = (line.split() for line in packed.splitlines() if line.strip())
     ranks = {base64.b64decode(a): int(b) for a, b in lines}
     by_id = [b""] * (max(ranks.values(), default=-1) + 1)
