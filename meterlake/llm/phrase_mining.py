@@ -36,6 +36,8 @@ BLOCK = 1 << 18
 PIECE = 1 << 20
 #: Words that a task holds in blocks not yet full, over all languages.
 HELD = 1 << 20
+#: Phrases that a task keeps in mind, so as not to write them out again.
+WRITTEN = 1 << 20
 #: Cells of the table of reached phrases, as a power of two; bits of one bitmap of them.
 CELL_BITS, MAP_BITS = 24, 1 << 15
 
@@ -311,11 +313,12 @@ def _texts(blocks: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _written_out(blocks: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
-    """The phrases of each block that the table wants written out, once a block."""
+    """The phrases that the table wants written out, once a task, or again after ``WRITTEN`` others."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _received(shared, bits)
         mask = np.uint64(len(table) - 1)
+        written: set[tuple[int, int]] = set()
         for row in (r for b in batches for i in range(len(b)) for r in b.slice(i, 1).to_pylist()):
             walk = Walk(row["lang"], row["words"], row["codes"], table)
             for length, at, low, high, _, seen in walk.lengths():
@@ -324,6 +327,12 @@ def _written_out(blocks: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
                 wanted = wanted[(cells[0] > 1) & (cells[1] > 1)]
                 at, low, high = at[wanted], low[wanted], high[wanted]
                 place, _ = _distinct(low, high)
+                # Names hold the language and, but for chance, the length.
+                names = list(zip(low[place].tolist(), high[place].tolist()))
+                place = place[np.fromiter((n not in written for n in names), bool, len(names))]
+                if len(written) > WRITTEN:
+                    written.clear()
+                written.update(names)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["lang"]] * len(place), pa.string()),
