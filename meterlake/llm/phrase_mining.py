@@ -270,7 +270,7 @@ def _counts(spark: SparkSession, folder: str, threshold: int) -> DataFrame:
         rows = rows.groupBy("lang", "len", "start", "hi", "lo").agg(F.sum("n").alias("n"))
         rows = rows.filter((F.col("n") >= threshold) | (F.col("start") + SHARDS > scan + 1))
         path = scratch_dir(spark, "counts")
-        rows.write.option("compression", "zstd").parquet(path)
+        rows.write.option("compression", "snappy").parquet(path)
         running = spark.read.schema(rows.schema).parquet(path)
         shared.destroy()
         if former:
