@@ -36,8 +36,8 @@ BLOCK = 1 << 18
 PIECE = 1 << 20
 #: Words that a task holds in blocks not yet full, over all languages.
 HELD = 1 << 20
-#: Phrases that a task keeps in mind, so as not to write them out again.
-WRITTEN = 1 << 20
+#: Phrases that a task keeps in mind, so as not to write them out again: 16 bytes each.
+WRITTEN = 1 << 22
 #: Cells of the table of reached phrases, as a power of two; bits of one bitmap of them.
 CELL_BITS, MAP_BITS = 24, 1 << 15
 
@@ -312,13 +312,21 @@ def _texts(blocks: DataFrame, names: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
+def _holds(written: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which names stand in ``written``, sorted by the first half; of those that share it, one is seen."""
+    if not written.size:
+        return np.zeros(len(low), bool)
+    at = np.minimum(np.searchsorted(written[0], low), written.shape[1] - 1)
+    return (written[0][at] == low) & (written[1][at] == high)
+
+
 def _written_out(blocks: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
-    """The phrases that the table wants written out, once a task, or again after ``WRITTEN`` others."""
+    """The phrases that the table wants written out, once a task, or again once it has written ``WRITTEN``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _received(shared, bits)
         mask = np.uint64(len(table) - 1)
-        written: set[tuple[int, int]] = set()
+        written = np.zeros((2, 0), np.uint64)
         for row in (r for b in batches for i in range(len(b)) for r in b.slice(i, 1).to_pylist()):
             walk = Walk(row["lang"], row["words"], row["codes"], table)
             for length, at, low, high, _, seen in walk.lengths():
@@ -328,11 +336,9 @@ def _written_out(blocks: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
                 at, low, high = at[wanted], low[wanted], high[wanted]
                 place, _ = _distinct(low, high)
                 # Names hold the language and, but for chance, the length.
-                names = list(zip(low[place].tolist(), high[place].tolist()))
-                place = place[np.fromiter((n not in written for n in names), bool, len(names))]
-                if len(written) > WRITTEN:
-                    written.clear()
-                written.update(names)
+                place = place[~_holds(written, low[place], high[place])]
+                held = np.concatenate([written[:, : max(0, WRITTEN - len(place))], [low[place], high[place]]], axis=1)
+                written = held[:, np.argsort(held[0], kind="stable")]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["lang"]] * len(place), pa.string()),
