@@ -45,38 +45,52 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def run(weights: dict[str, np.ndarray], way: str, text: np.ndarray, real: np.ndarray | None) -> np.ndarray:
-    """States of one direction, (time, lane, hidden). ``real`` marks bytes that are not padding."""
-    ez, er, ec = (weights[n + way] for n in ("ez", "er", "ec"))
-    uz, ur, uc = (weights[n + way] for n in ("uz", "ur", "uc"))
+    """States of one direction, (time, lane, hidden). ``real`` marks bytes that are not padding.
+
+    Both gates of a step are one product, and every step works in the same buffers.
+    """
+    uc, ec = weights["uc" + way], weights["ec" + way]
+    hidden = uc.shape[0]
+    # The half that the logistic function takes of its argument is in the weights already.
+    u = np.concatenate([weights["uz" + way], weights["ur" + way]], 1) * uc.dtype.type(0.5)
+    e = np.concatenate([weights["ez" + way], weights["er" + way]], 1) * uc.dtype.type(0.5)
     steps, lanes = text.shape
-    out = np.empty((steps, lanes, uz.shape[0]), uz.dtype)
-    state = np.zeros((lanes, uz.shape[0]), uz.dtype)
+    out = np.empty((steps, lanes, hidden), uc.dtype)
+    gates, told = np.empty((2, lanes, 2 * hidden), uc.dtype)
+    c, heard = np.empty((2, lanes, hidden), uc.dtype)
+    state = np.zeros((lanes, hidden), uc.dtype)
+    z, r = gates[:, :hidden], gates[:, hidden:]
     for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
         byte = text[t]
-        z = sigmoid(state @ uz + ez[byte])
-        r = sigmoid(state @ ur + er[byte])
+        np.matmul(state, u, out=gates)
+        gates += np.take(e, byte, 0, out=told, mode="clip")
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
         r *= state
-        c = r @ uc
-        c += ec[byte]
+        np.matmul(r, uc, out=c)
+        c += np.take(ec, byte, 0, out=heard, mode="clip")
         np.tanh(c, out=c)
         c -= state
         c *= z
-        state = state + c
+        state = np.add(state, c, out=out[t])
         if real is not None:
             state *= real[t][:, None]
-        out[t] = state
     return out
 
 
 def positions(weights: dict[str, np.ndarray], text: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
     """Distribution over the languages at every byte, (time, lane, language)."""
-    scores = run(weights, "f", text, real) @ weights["of"]
-    scores += run(weights, "b", text, real) @ weights["ob"]
-    scores += weights["bias"]
-    scores -= scores.max(-1, keepdims=True)
+    steps, lanes = text.shape
+    # Language by language: sums over a few languages beside each other would be slow.
+    scores = np.repeat(weights["bias"][:, None], steps * lanes, 1)
+    for way in "fb":
+        states = run(weights, way, text, real)
+        scores += weights["o" + way].T @ states.reshape(steps * lanes, -1).T
+    scores -= scores.max(0)
     np.exp(scores, out=scores)
-    scores /= scores.sum(-1, keepdims=True)
-    return scores
+    scores /= scores.sum(0)
+    return scores.reshape(-1, steps, lanes).transpose(1, 2, 0)
 
 
 def gradients(weights: dict[str, np.ndarray], text: np.ndarray, language: np.ndarray) -> dict[str, np.ndarray]:
@@ -159,6 +173,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_co
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
     drawn = (
         rows.select("lang", "draw", "id")
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id")))
