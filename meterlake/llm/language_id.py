@@ -24,6 +24,8 @@ from meterlake.llm.common import slices
 HIDDEN, SEGMENT, TRAIN_SEGMENT, LANES = 16, 128, 64, 2048
 #: Labelled texts per language, segments taken from each, steps and segments per step.
 SAMPLE, PER_TEXT, STEPS, BATCH, RATE = 400, 8, 250, 256, 0.02
+#: Groups in which the draws of a language first meet.
+DEALS = 256
 #: The language of texts without a letter.
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -174,13 +176,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_co
         F.col(text_col).alias("text"),
     ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
-    drawn = (
-        rows.select("lang", "draw", "id")
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id")))
-        .filter(F.col("n") <= sample)
-        .select("lang", "draw", "id")
-        .distinct()
-    )
+    def least(of: DataFrame, *keys) -> DataFrame:
+        by_draw = Window.partitionBy(*keys).orderBy("draw", "id")
+        return of.withColumn("n", F.row_number().over(by_draw)).filter(F.col("n") <= sample).drop("n")
+
+    # Of a frequent language every task sends its least draws. They first meet in DEALS groups, so
+    # that no task takes those of all others.
+    dealt = least(rows.select("lang", "draw", "id"), "lang", F.pmod("draw", F.lit(DEALS)))
+    drawn = least(dealt, "lang").distinct()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
