@@ -1,0 +1,63 @@
+"""Which of the near lines, by brute-force edit distance, line dedup finds."""
+
+import random
+
+from meterlake.llm.line_dedup import remove_lines
+from tests.llm.helpers import documents
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def levenshtein(a: str, b: str) -> int:
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        before = row
+    return before[-1]
+
+
+def edited(rnd: random.Random, line: str, edits: int) -> str:
+    """Letters changed, put in or left out anywhere, now and then a space."""
+    chars = list(line)
+    for _ in range(edits):
+        at, kind = rnd.randrange(1, len(chars) - 1), rnd.random()
+        if kind < 0.6:
+            chars[at] = rnd.choice(LETTERS)
+        elif kind < 0.8:
+            chars.insert(at, rnd.choice(LETTERS))
+        else:
+            del chars[at]
+    return "".join(chars)
+
+
+def test_recall(spark):
+    rnd = random.Random(1)
+    vocabulary = ["".join(rnd.choice(LETTERS) for _ in range(rnd.randint(2, 9))) for _ in range(2000)]
+    rows, kinds = [], {}
+    for words in (8, 10, 20, 30, 60):
+        for edits in (1, 2):
+            for _ in range(150):
+                line = " ".join(rnd.choice(vocabulary) for _ in range(words))
+                near = edited(rnd, line, edits)
+                if levenshtein(line, near) * 10 <= max(len(line), len(near)):
+                    kinds.setdefault((words, edits), []).append(len(rows) + 1)
+                    rows += [(len(rows), line), (len(rows) + 1, near)]
+    texts = {r.doc_id: r.text for r in remove_lines(documents(spark, rows)).collect()}
+    assert all(texts[n] == text for n, text in rows if n % 2 == 0)
+    found = {kind: sum(texts[n] == "" for n in near) / len(near) for kind, near in kinds.items()}
+    print(found)
+    assert all(len(near) >= 100 for near in kinds.values())
+    assert min(found.values()) >= 0.9, found
+
+
+def test_lines_unlike_each_other_stay(spark):
+    """Lines that share blocks, but differ by more than a tenth."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice(LETTERS) for _ in range(6))
+    half, tail = [word() for _ in range(10)], [word() for _ in range(40)]
+    rows = [(i, " ".join(half + [word() for _ in range(10)])) for i in range(60)]
+    rows += [(100 + i, " ".join([word() for _ in range(20)] + tail)) for i in range(60)]
+    texts = {r.doc_id: r.text for r in remove_lines(documents(spark, rows)).collect()}
+    assert texts == dict(rows)
