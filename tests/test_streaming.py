@@ -14,7 +14,7 @@ from meterlake.sources.ranges import MAX_RANGE, ByteRange
 from meterlake.sources.rates import default_rates, rates_from_dict
 from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS
 from meterlake.sources.tail import GrowingLogsReader, advanced, pack
-from meterlake.streaming.carry import carry_through
+from meterlake.streaming.carry import RolloutCarry, carry_through
 from meterlake.streaming.ingest import ingest_available
 from meterlake.streaming.rollups import stream_daily
 from tests.conftest import by_key, model, rollout_name, session, tokens, turn, write_lines
@@ -136,6 +136,33 @@ def test_records_carry_over_batches():
     assert anew == (None, None, None, 0)
 
 
+class _Map(dict):
+    """The map state of one group of files."""
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_files_of_a_group_are_carried_in_one_frame():
+    columns = ["source_file", "line_id", "is_usage", "model_set", "session_set", "cwd", "restarted", "file_group"]
+    carry = RolloutCarry(1000)
+    carry.state = _Map({("b",): ("m-b", None, "/b", 7), ("c",): ("m-c", "s-c", None, 9)})
+    rows = [(file, n, True, f"m{n}" if n == 20 else None, None, None, None, 3) for n in (30, 10, 20) for file in "ab"]
+    rows.append(("c", 90, None, None, None, None, True, 3))  # begins anew
+    frames = [pd.DataFrame(rows[:4], columns=columns), pd.DataFrame(rows[4:], columns=columns)]
+    (found,) = carry.handleInputRows((3,), iter(frames), None)
+    taken = [(r.source_file, r.line_id, r.model, r.ordinal) for r in found.itertuples()]
+    assert taken == [
+        ("a", 10, None, 1), ("a", 20, "m20", 2), ("a", 30, "m20", 3),
+        ("b", 10, "m-b", 8), ("b", 20, "m20", 9), ("b", 30, "m20", 10), ("c", 90, None, 0),
+    ]
+    assert "file_group" not in found
+    assert carry.state == {("a",): ("m20", None, None, 3), ("b",): ("m20", None, "/b", 10), ("c",): (None, None, None, 0)}
+
+
 class Stream:
     def __init__(self, spark, root):
         self.spark, self.root = spark, root
