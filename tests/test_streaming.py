@@ -3,17 +3,20 @@
 import datetime as dt
 import json
 import os
+import pickle
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import CaseInsensitiveDict
 
 from meterlake import schema
 from meterlake.plans.ingest import ingest
 from meterlake.plans.store import Warehouse
-from meterlake.sources.ranges import MAX_RANGE, ByteRange
+from meterlake.sources.ranges import MAX_RANGE, ByteRange, joined
 from meterlake.sources.rates import default_rates, rates_from_dict
 from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS
-from meterlake.sources.tail import GrowingLogsReader, advanced, pack
+from meterlake.sources.tail import GrowingLogs, GrowingLogsReader, advanced, pack
 from meterlake.streaming.carry import RolloutCarry, carry_through
 from meterlake.streaming.ingest import ingest_available
 from meterlake.streaming.rollups import stream_daily
@@ -58,6 +61,30 @@ def test_reader_offsets(tmp_path, monkeypatch):
     assert GrowingLogsReader({"s": {"root": str(tmp_path / "no"), "glob": "*"}}).latestOffset() == {"s": {}}
 
 
+def test_tasks_are_not_sent_the_offsets(tmp_path):
+    """An offset names every file; a task gets the ranges it reads."""
+    offset = json.dumps({"s": {"done": 0, "files": {f"/logs/{i}.jsonl": 9 for i in range(2000)}}})
+    options = CaseInsensitiveDict({"roots": "{}", "first": offset, "last": offset, "maxRangeBytes": "77"})
+    source = GrowingLogs(options)
+    reader = source.streamReader(None)
+    assert len(reader.initialOffset()["s"]["files"]) == 2000 and reader.last == reader.first
+    sent = pickle.dumps((source, reader.read))
+    assert len(sent) < 2000 and reader.max_range == 77
+
+
+def test_small_files_share_a_batch(tmp_path):
+    for i in range(50):
+        write_lines(tmp_path / f"{i:02d}.jsonl", [f"{i}-a", f"{i}-b"])
+    reader = GrowingLogsReader({"s": {"root": str(tmp_path), "glob": "*"}})
+    (part,) = reader.partitions({}, reader.latestOffset())
+    (batch,) = reader.read(part)
+    rows = batch.to_pylist()
+    assert [r["value"] for r in rows] == [v for r in part.ranges for v in (f"{int(r[1].path[-8:-6])}-a", f"{int(r[1].path[-8:-6])}-b", None)]
+    many = [pa.record_batch({"n": pa.array(range(n), pa.int64())}) for n in (3, 0, 9_990, 10, 20_000, 5)]
+    assert [len(b) for b in joined(many)] == [9_993, 10, 20_000, 5]
+    assert [n for b in joined(many) for n in b["n"].to_pylist()] == [n for b in many for n in b["n"].to_pylist()]
+
+
 def test_small_batches_give_what_one_large_one_gives(tmp_path):
     for i in range(7):
         write_lines(tmp_path / f"{i}.jsonl", [f"{i}-{j}-" + "x" * (7 * j) for j in range(9)])
