@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,20 @@ def features_of(text: str | None) -> set[str]:
     return words | {MARK + w[:STEM] for w in words if len(w) > STEM}
 
 
+def numbers_of(lists: pa.Array, names: pa.Array) -> pa.Array:
+    """Of each list of texts the places in ``names`` of those that are there, ascending. No text
+    becomes a Python object, so this holds little more than the lists themselves."""
+    found = pc.index_in(lists.flatten(), value_set=names.cast(lists.type.value_type))
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[known]
+    number = found.drop_null().to_numpy(zero_copy_only=False)
+    order = np.lexsort((number, row))
+    ends = np.cumsum(np.bincount(row, minlength=len(lists)))
+    return pa.ListArray.from_arrays(
+        pa.array(np.append(0, ends), pa.int32()), pa.array(number[order], pa.int32())
+    )
+
+
 def fit_ordinal(indices: list[np.ndarray], grades: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the ordinal likelihood.
 
@@ -163,19 +178,17 @@ def train(
     number = {r.feature: i for i, r in enumerate(chosen)}
     if not number:
         return Model({}, np.zeros(0))
-    shared = spark.sparkContext.broadcast(number)
+    shared = spark.sparkContext.broadcast(list(number))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value
-        for batch in batches:
-            lists = batch.column("features").to_pylist()
-            kept = [sorted(numbers[f] for f in x if f in numbers) for x in lists]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(kept, pa.list_(pa.int32()))], names=["toxic", "present"]
-            )
-
-    fitted = rows.mapInArrow(pick, "toxic boolean, present array<int>")
-    fitted = fitted.orderBy("toxic", "present").collect()
+        names = pa.array(shared.value, pa.string())
+        for batch in slices(batches, "features", WORD_BYTES):
+            present = numbers_of(batch.column("features"), names)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), present], names=["toxic", "present"])
+
+    fitted = rows.mapInArrow(pick, "toxic boolean, present array<int>").collect()
+    # Sorted here: a sort by Spark would first work everything out once more for its ranges.
+    fitted.sort(key=lambda r: (r.toxic, r.present))
     toxic = np.array([r.toxic for r in fitted])
     hits = np.array([len(r.present) for r in fitted])
     grades = np.where(toxic, 1 + (hits > np.median(hits[toxic])), 0)

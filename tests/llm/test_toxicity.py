@@ -1,6 +1,7 @@
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 
 from meterlake.llm import toxicity
 from tests.llm.helpers import documents
@@ -17,6 +18,14 @@ def test_ordinal_fit_orders_the_grades():
     assert ((chance > 0.5).sum(1) == grades).mean() > 0.97
 
 
+def test_numbers_of_features_without_python_texts():
+    lists = pa.array([["x"], [], ["c", "a", "no"], ["no"], ["b"], []], pa.list_(pa.string()))
+    found = toxicity.numbers_of(lists.slice(1), pa.array(["a", "b", "c"]))
+    assert found.to_pylist() == [[], [0, 2], [], [1], []]
+    assert toxicity.numbers_of(lists.slice(0, 0), pa.array(["a"])).to_pylist() == []
+    assert toxicity.numbers_of(lists.slice(0, 2), pa.array(["a"])).to_pylist() == [[], []]
+
+
 def test_held_out_documents(spark):
     rng = np.random.default_rng(4)
     words = [f"word{i}" for i in range(80)]
