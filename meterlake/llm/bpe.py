@@ -25,7 +25,7 @@ from meterlake.llm.common import slices
 
 #: Entries kept of the deterministic machine, of pairs judged and of whole pieces. They bound
 #: memory only: without room a piece is encoded anew.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, LONGEST_KEPT = 100_000, 400_000, 600_000, 48
+MAX_STATES, MAX_PAIRS, MAX_PIECES, LONGEST_KEPT = 40_000, 100_000, 300_000, 48
 #: Rank of a merge that does not happen.
 NEVER = 1 << 62
 #: Pieces taken from a text at a time, and characters of a text that is split at spaces.
