@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,10 +29,29 @@ def ascii_lower(text: Column) -> Column:
 
 def staged(rows: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read back: cuts the lineage."""
-    spark = rows.sparkSession
-    path = scratch_dir(spark, label)
+    return store(rows, scratch_dir(rows.sparkSession, label))
+
+
+def store(rows: DataFrame, path: str) -> DataFrame:
+    """The rows written to a new folder and read back, for folders that are removed later."""
     rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """What runs inside runs with these settings of the session."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

@@ -49,3 +49,40 @@ def test_links_between_tight_clusters(spark, monkeypatch):
     assert (100, 101) in links and set(low.values()) == {0}
     for i in unit:
         assert (found[i].n_links, found[i].component_id) == (sum(a == i for a, _ in links), low[i])
+
+
+def test_no_vector_is_stored_for_each_cell_it_visits(spark, monkeypatch):
+    written, staged = {}, module.staged
+
+    def spied(rows, label):
+        table = staged(rows, label)
+        written[label] = table.count()
+        return table
+
+    monkeypatch.setattr(module, "staged", spied)
+    # Without clusters a vector visits several of the 12 cells.
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(600, 32))
+    vectors[300:320] = vectors[:20] + rng.normal(0, 0.05, (20, 32))
+    table = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>"
+    )
+    rows = near_duplicates(table, cell_size=50).collect()
+    assert max(written.values()) <= 600, written
+    unit = vectors.astype(np.float32).astype(float)
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    counts = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert counts.sum() >= 40 and {r.vec_id: r.n_links for r in rows} == dict(enumerate(counts.tolist()))
+
+
+def test_links_are_judged_in_double_precision(monkeypatch):
+    monkeypatch.setattr(module, "VISITORS", 5)
+    rng = np.random.default_rng(8)
+    x = module.unit_rows(rng.normal(size=(40, 24)))
+    across = rng.normal(size=(40, 24))
+    across = module.unit_rows(across - (across * x).sum(1, keepdims=True) * x)
+    cosines = 0.9 + np.linspace(-3e-9, 3e-9, 40)
+    y = cosines[:, None] * x + np.sqrt(1 - cosines**2)[:, None] * across
+    for some in (slice(0, 40), slice(0, 3)):  # few and many that are near
+        row, col = module.links_of(x[some], y[some], 0.9)
+        assert set(zip(row.tolist(), col.tolist())) == set(zip(*[i.tolist() for i in np.nonzero(x[some] @ y[some].T >= 0.9)]))
