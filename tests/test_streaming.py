@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import os
 import pickle
+import random
+from contextlib import ExitStack
 
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +18,17 @@ from meterlake.plans.store import Warehouse
 from meterlake.sources.ranges import MAX_RANGE, ByteRange, joined
 from meterlake.sources.rates import default_rates, rates_from_dict
 from meterlake.sources.registry import ASSISTANT_LOGS, ROLLOUT_LOGS
-from meterlake.sources.tail import GrowingLogs, GrowingLogsReader, advanced, pack
+from meterlake.sources import tail
+from meterlake.sources.tail import (
+    BUCKETS,
+    GrowingLogs,
+    GrowingLogsReader,
+    OffsetFiles,
+    advanced,
+    advanced_by_bucket,
+    offset_of_state,
+    pack,
+)
 from meterlake.streaming.carry import RolloutCarry, carry_through
 from meterlake.streaming.ingest import ingest_available
 from meterlake.streaming.rollups import stream_daily
@@ -134,6 +146,85 @@ def test_a_file_not_begun_is_never_taken_for_finished():
     assert three == {"done": 2000, "files": {"d": 1}}
 
 
+def _as_inline(offset):
+    if "stored" not in offset:
+        return offset
+    with ExitStack() as stack:
+        files = OffsetFiles(offset, stack)
+        return {"done": offset["done"], "files": {p: n for b in range(BUCKETS) for p, n in files[b].items()}}
+
+
+def test_stored_offsets_hold_what_inline_ones_hold(tmp_path, monkeypatch):
+    """Over files that come, grow, shrink, go, and share time stamps, with a budget in bytes or without."""
+    monkeypatch.setattr(tail, "LISTED", 7)
+    random.seed(4)
+    plain, stored, listing, kinds = {}, {}, {}, set()
+    for step in range(60):
+        for _ in range(random.randrange(5)):
+            path = f"/logs/{random.randrange(30)}.jsonl"
+            if random.random() < 0.1:
+                listing.pop(path, None)
+            else:
+                listing[path] = (path, random.randrange(40), 10 * step + random.randrange(3))
+        budget = random.choice([0, 5, 20, 1000])
+        plain, taken = advanced(plain, list(listing.values()), budget, 10 * step - 50)
+        stored, same = advanced_by_bucket(stored, listing.values(), budget, 10 * step - 50, str(tmp_path), inline=8)
+        assert (same, _as_inline(stored)) == (taken, plain)
+        kinds.add("stored" in stored)
+    assert kinds == {True, False}
+
+
+def test_the_driver_holds_no_path_of_many_files(tmp_path):
+    """Neither an offset nor what a task is sent grows with the files; the rows are the same."""
+    for i in range(300):
+        write_lines(tmp_path / f"{i % 3}" / f"{i:03d}.jsonl", [f"{i}-a", f"{i}-b"])
+    spec = {"s": {"root": str(tmp_path), "glob": "*.jsonl"}}
+    plain = GrowingLogsReader(spec, max_range=8)
+    wanted = sorted(map(str, _read(plain, {}, plain.latestOffset())))
+    folder = tmp_path / "offsets"
+    reader = GrowingLogsReader(spec, max_range=8, folder=str(folder), inline=100)
+    first = reader.latestOffset()
+    parts = reader.partitions({}, first)
+    assert len(json.dumps(first)) < 300 and all(len(pickle.dumps(p)) < 300 for p in parts)
+    assert sorted(str(r) for p in parts for b in reader.read(p) for r in b.to_pylist() if r["mark"] is None) == wanted
+    assert reader.latestOffset() == first and reader.partitions(first, first) == []
+    write_lines(tmp_path / "1" / "001.jsonl", ["new"], "a")
+    # Started again, with an offset from the checkpoint.
+    again = GrowingLogsReader(spec, folder=str(folder), inline=100, last=json.loads(json.dumps(first)))
+    second = again.latestOffset()
+    assert [r["value"] for r in _read(again, first, second)] == ["new"]
+    reader.commit(first)
+    again.commit(second)
+    assert len(list((folder / "s").iterdir())) == 2
+
+
+def test_stored_offsets_are_not_kept_for_ever(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "KEPT", 3)
+    spec = {"s": {"root": str(tmp_path / "logs"), "glob": "*"}}
+    reader = GrowingLogsReader(spec, folder=str(tmp_path / "o"), inline=0)
+    start = {}
+    for i in range(7):
+        write_lines(tmp_path / "logs" / "a.jsonl", [f"{i}"], "a")
+        end = reader.latestOffset()
+        assert [r["value"] for r in _read(reader, start, end)] == [f"{i}"]
+        reader.commit(end)
+        start = end
+    left = sorted(f.name for f in (tmp_path / "o" / "s").iterdir())
+    assert len(left) == 3 and start["s"]["stored"].endswith(left[-1])
+    assert list((tmp_path / "o" / "ranges").iterdir()) == []
+
+
+def test_the_state_of_batch_passes_is_stored_by_a_task(spark, tmp_path):
+    rows = [(f"/logs/ü {i}.jsonl", i) for i in range(500)]
+    state = spark.createDataFrame(rows, "source_file string, last_offset long")
+    offset = offset_of_state("s", state, str(tmp_path), inline=499)
+    assert set(offset["s"]) == {"done", "stored"} and _as_inline(offset["s"]) == {"done": 0, "files": dict(rows)}
+    with ExitStack() as stack:
+        files = OffsetFiles(offset["s"], stack)
+        assert all(tail._bucket(path) == b for b in range(BUCKETS) for path in files[b])
+    assert offset_of_state("s", state, str(tmp_path), inline=500) == {"s": {"done": 0, "files": dict(rows)}}
+
+
 def test_small_ranges_share_a_task():
     ranges = [("s", ByteRange(f"f{i}", 0, 1000, True)) for i in range(1000)]
     packs = pack(ranges, MAX_RANGE, 8)
@@ -268,6 +359,27 @@ def test_a_stream_goes_on_from_a_batch_pass_and_back(spark, tmp_path):
     assert total == 10
 
 
+def test_streams_with_stored_offsets(spark, tmp_path, monkeypatch):
+    """From a batch pass on, over several runs: every event once, and no path in the checkpoint's offsets."""
+    monkeypatch.setattr(tail, "INLINE", 2)
+    stream = Stream(spark, tmp_path)
+    files = [tmp_path / "codex" / rollout_name(n) for n in range(1, 7)]
+    for n, file in enumerate(files[:4]):
+        write_lines(file, [session(f"s-{n}"), model("o3"), tokens()])
+    ingest(spark, stream.warehouse, {"codex": str(tmp_path / "codex")}, stream.rates)
+    for n, file in enumerate(files):
+        write_lines(file, [tokens(), tokens()] if n < 4 else [session(f"s-{n}"), tokens()], "a")
+    assert stream.run(ROLLOUT_LOGS, max_batch=2500) > 1
+    write_lines(files[5], [model("gpt-4o"), tokens()], "a")
+    assert stream.run(ROLLOUT_LOGS) == 1
+    assert stream.run(ROLLOUT_LOGS) == 0
+    rows = stream.rows()
+    assert sorted(rows) == sorted([f"codex:s-{n}:{k}" for n in range(4) for k in (1, 2, 3)] + ["codex:s-4:1", "codex:s-5:1", "codex:s-5:2"])
+    assert {rows[f"codex:s-{n}:3"].model for n in range(4)} == {"o3"} and rows["codex:s-5:2"].model == "gpt-4o"
+    offsets = [f.read_text() for f in (tmp_path / "checkpoint-codex" / "offsets").glob("[0-9]*")]
+    assert len(offsets) > 2 and all('"stored"' in o and "rollout-" not in o for o in offsets)
+
+
 def test_rates_are_asked_for_before_each_batch(spark, tmp_path):
     stream = Stream(spark, tmp_path)
     price = {"n": 1.0}
